@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import DataStreamWriter
 
 from keyweave.operators.batching import Accumulator
 from keyweave.operators.keyed import KeyedTable
+from keyweave.plans.frames import shared_dir
 
 
 def probe_stream(table: KeyedTable, stream: DataFrame) -> DataFrame:
@@ -18,7 +21,7 @@ def probe_stream(table: KeyedTable, stream: DataFrame) -> DataFrame:
 
 def insert_stream(table: KeyedTable, stream: DataFrame) -> DataStreamWriter:
     """A writer, to be started, that inserts each micro-batch; a batch that is replayed is inserted again."""
-    return stream.writeStream.foreachBatch(lambda batch, _: table.insert(_settled(batch)) and None)
+    return stream.writeStream.foreachBatch(lambda batch, _: table.insert(_settled(table, batch)) and None)
 
 
 def accumulate_stream(accumulator: Accumulator, stream: DataFrame) -> DataStreamWriter:
@@ -26,8 +29,8 @@ def accumulate_stream(accumulator: Accumulator, stream: DataFrame) -> DataStream
     return stream.writeStream.foreachBatch(lambda batch, _: accumulator.insert(batch))
 
 
-def _settled(batch: DataFrame) -> DataFrame:
-    """A micro-batch's rows, which outlive it."""
-    from keyweave.plans.frames import checkpointed
-
-    return checkpointed(batch)
+def _settled(table: KeyedTable, batch: DataFrame) -> DataFrame:
+    """A micro-batch's rows in the table's own session, from a written table that outlives the batch."""
+    path = f"{shared_dir(table.spark).rstrip('/')}/inserted-{uuid.uuid4().hex}"
+    batch.write.parquet(path)
+    return table.spark.read.parquet(path)
