@@ -40,10 +40,13 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in lines if line.strip())}
 
 
+LEVEL = 6
+
+
 def pack(numbers: np.ndarray) -> bytes:
     """Numbers from 0 to 2**32 - 1, compressed byte plane by byte plane; the mostly empty upper planes cost next to nothing."""
     planes = np.ascontiguousarray(numbers, "<u4").view(np.uint8).reshape(-1, 4).T
-    return zstandard.ZstdCompressor(level=3).compress(planes.tobytes())
+    return zstandard.ZstdCompressor(level=LEVEL).compress(planes.tobytes())
 
 
 def unpack(packed: bytes) -> np.ndarray:
@@ -51,9 +54,19 @@ def unpack(packed: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes.reshape(4, -1).T).view("<u4").ravel()
 
 
+def pack_ids(ids: np.ndarray) -> bytes:
+    """Ids as two bytes each, whose pairs recur, or four if one needs them; the first byte tells which."""
+    width = 2 if not len(ids) or ids.max() < 1 << 16 else 4
+    return bytes([width]) + zstandard.ZstdCompressor(level=LEVEL).compress(ids.astype(f"<u{width}").tobytes())
+
+
+def unpack_ids(packed: bytes) -> np.ndarray:
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(packed[1:]), f"<u{packed[0]}")
+
+
 def pack_words(words: list[bytes]) -> tuple[bytes, bytes]:
     sizes = np.fromiter(map(len, words), np.uint32, len(words))
-    return pack(sizes), zstandard.ZstdCompressor(level=3).compress(b"".join(words))
+    return pack(sizes), zstandard.ZstdCompressor(level=LEVEL + 3).compress(b"".join(words))
 
 
 def unpack_words(sizes: bytes, packed: bytes) -> list[bytes]:
@@ -70,7 +83,7 @@ def gather(starts: np.ndarray, sizes: np.ndarray, picks: np.ndarray) -> tuple[np
     return np.arange(total) + np.repeat(starts[picks] - ends + taken, taken), taken
 
 
-#: kind 0: a block's words of one part (sizes, payload, numbers); kind 1: positions of some texts (keys, sizes: pre-tokens per text, payload).
+#: kind 0: a block's words of one part in rising order of their numbers (sizes, payload, differences of the numbers); kind 1: positions of some texts (keys, sizes: pre-tokens per text, payload).
 def _split_schema(key_type) -> StructType:
     fields = [("kind", IntegerType()), ("block", LongType()), ("place", LongType()), ("keys", ArrayType(key_type)), ("sizes", BinaryType()), ("payload", BinaryType()), ("numbers", BinaryType())]
     return StructType([StructField(n, t) for n, t in fields])
@@ -99,12 +112,12 @@ class _Block:
         renumbered[np.argsort(-uses, kind="stable")] = np.arange(n, dtype=np.uint32)
         words = [w.encode() for w in self.words]
         part = np.fromiter(map(zlib.crc32, words), np.uint32, n) % np.uint32(self.parts)
-        order = np.argsort(part, kind="stable")
+        order = np.lexsort((renumbered, part))
         cuts = np.searchsorted(part[order], np.arange(self.parts + 1))
         for p in np.flatnonzero(np.diff(cuts)):
             own = order[cuts[p] : cuts[p + 1]]
             sizes, payload = pack_words([words[i] for i in own])
-            yield self._row(0, int(p), [], sizes, payload, pack(renumbered[own]))
+            yield self._row(0, int(p), [], sizes, payload, pack(np.diff(renumbered[own], prepend=np.uint32(0))))
         start = held = 0
         for i, text in enumerate(self.texts):
             held += len(text)
@@ -169,7 +182,7 @@ def encode(df: DataFrame, ranks: dict[bytes, int], pattern: str, key: str = "doc
                     if word not in known:
                         known[word] = np.array(piece(word), np.uint32)
                 found = [known[w] for w in words]
-                out.append((row["block"], row["numbers"], pack(np.fromiter(map(len, found), np.uint32, len(found))), pack(np.concatenate(found))))
+                out.append((row["block"], row["numbers"], pack(np.fromiter(map(len, found), np.uint32, len(found))), pack_ids(np.concatenate(found))))
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate((pa.int64(), pa.binary(), pa.binary(), pa.binary()))], names=["block", "numbers", "sizes", "ids"])
 
     words = made.where("kind = 0").select("place", "block", "sizes", "payload", "numbers").repartition(parts, "place")
@@ -178,12 +191,13 @@ def encode(df: DataFrame, ranks: dict[bytes, int], pattern: str, key: str = "doc
 
     def reassemble(texts: pa.Table, words: pa.Table) -> pa.Table:
         sizes = np.zeros(0, np.int64)
-        numbers, counts, ids = ([unpack(x) for x in words.column(c).to_pylist()] for c in ("numbers", "sizes", "ids"))
+        numbers = [np.cumsum(unpack(x), dtype=np.int64) for x in words.column("numbers").to_pylist()]
+        counts, ids = [unpack(x) for x in words.column("sizes").to_pylist()], [unpack_ids(x) for x in words.column("ids").to_pylist()]
         if numbers:
             number, count = np.concatenate(numbers), np.concatenate(counts).astype(np.int64)
             sizes, starts = np.zeros(len(number), np.int64), np.zeros(len(number), np.int64)
             sizes[number], starts[number] = count, np.cumsum(count) - count
-        flat = np.concatenate([*ids, np.zeros(0, np.uint32)]).astype(np.int32)
+        flat = np.concatenate([*ids, np.zeros(0, np.uint16)]).astype(np.int32)
         keys, lists = [], []
         for row in sorted(texts.to_pylist(), key=lambda r: r["place"]):
             per_text, at = unpack(row["sizes"]).astype(np.int64), unpack(row["payload"])
