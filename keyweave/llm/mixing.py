@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 
 from keyweave.llm._common import WORD, broadcast_if_small, checkpointed
 
-#: Histogram cells of the rounding threshold between 0 and 1.
-CELLS = 1 << 14
+#: Histogram cells of the rounding threshold between 0 and 1, and how often a cell is cut again.
+CELLS, LEVELS = 512, 2
 #: Newton steps stop at this relative distance of every source from its target.
 CLOSE = 1e-12
 MOST_STEPS = 100
@@ -83,13 +83,22 @@ def solve(cells: DataFrame, targets: DataFrame, cap: float) -> DataFrame:
 
 
 def _rated(rows: DataFrame, plan: DataFrame, cap: float) -> DataFrame:
-    """rows (_kw_source, _kw_base, _kw_draw, _kw_size) joined to their source's plan, with _kw_whole, _kw_part, _kw_at and _kw_cell."""
+    """rows (_kw_source, _kw_base, _kw_draw, _kw_size) joined to their source's plan, with _kw_whole, _kw_part, and _kw_at."""
     rows = rows.join(plan, rows["_kw_source"].eqNullSafe(plan["_kw_of"]), "left").drop("_kw_of")
     rate = F.when(F.col("_kw_target") > 0, F.round(F.least(F.lit(float(cap)), F.col("_kw_base") * F.exp("_kw_lambda")), 9)).otherwise(0.0)
     rows = rows.withColumn("_kw_rate", rate).withColumn("_kw_whole", F.floor("_kw_rate")).withColumn("_kw_part", F.col("_kw_rate") - F.col("_kw_whole"))
     # Documents whose hash, over their fraction, lies below the source's threshold get one copy more.
-    rows = rows.withColumn("_kw_at", F.when(F.col("_kw_part") > 0, F.col("_kw_draw") / F.col("_kw_part")))
-    return rows.withColumn("_kw_cell", F.least(F.floor(F.col("_kw_at") * CELLS), F.lit(4 * CELLS)))
+    return rows.withColumn("_kw_at", F.when(F.col("_kw_part") > 0, F.col("_kw_draw") / F.col("_kw_part")))
+
+
+def _cell(level: int) -> Column:
+    n = CELLS**level
+    return F.least(F.floor(F.col("_kw_at") * float(n)), F.lit(4 * n + CELLS - 1 if level > 1 else 4 * n))
+
+
+def _inside(rated: DataFrame, met: DataFrame, level: int) -> DataFrame:
+    """The documents in the cell where their source meets its need."""
+    return rated.join(met, rated["_kw_source"].eqNullSafe(met["_kw_of2"]) & (_cell(level) == met["_kw_met"]))
 
 
 def plan_mix(rows: DataFrame, weights: tuple[float, ...], share: float, cap: float) -> DataFrame:
@@ -103,21 +112,25 @@ def plan_mix(rows: DataFrame, weights: tuple[float, ...], share: float, cap: flo
     plan = solved.select(F.col("source").alias("_kw_of"), F.col("source_size").alias("_kw_source_size"), F.col("target").alias("_kw_target"), F.col("lambda_").alias("_kw_lambda"))
 
     rated = _rated(rows, broadcast_if_small(plan, 80), cap)
-    # Where the running sum of words, in order of the hash, meets what the fractions are to take: first the cell, then the place in it.
-    need = F.sum(F.col("_kw_size") * F.col("_kw_part")).alias("need")
-    cell = rated.where("_kw_at is not null").groupBy("_kw_source", "_kw_cell").agg(F.sum("_kw_size").alias("words"), need)
-    whole = Window.partitionBy("_kw_source")
-    cell = cell.withColumn("upto", F.sum("words").over(whole.orderBy("_kw_cell"))).withColumn("need", F.sum("need").over(whole))
-    meets = F.min_by(F.struct("_kw_cell", (F.col("need") - F.col("upto") + F.col("words")).alias("left")), F.when(F.col("upto") >= F.col("need"), F.col("_kw_cell")))
-    met = checkpointed(cell.groupBy(F.col("_kw_source").alias("_kw_of2")).agg(meets.alias("m")).select("_kw_of2", F.col("m._kw_cell").alias("_kw_met"), F.col("m.left").alias("_kw_left")))
-    met = broadcast_if_small(met, 60)
-    inside = rated.join(met, rated["_kw_source"].eqNullSafe(met["_kw_of2"]) & (rated["_kw_cell"] == met["_kw_met"]))
-    inside = inside.groupBy("_kw_of2", "_kw_at").agg(F.sum("_kw_size").alias("words"), F.first("_kw_left").alias("left"))
+    # Where the running sum of words, in order of the hash, meets what the fractions are to take:
+    # first the cell, then the cell within it, then the document. No step sorts more than the cells of a source.
+    met = None
+    for level in range(1, LEVELS + 1):
+        inside = rated.where("_kw_at is not null").withColumn("left", F.col("_kw_size") * F.col("_kw_part")) if met is None else _inside(rated, met, level - 1)
+        total = F.sum("left") if met is None else F.first("left")
+        cells = inside.groupBy(F.col("_kw_source").alias("of2"), _cell(level).alias("cell")).agg(F.sum("_kw_size").alias("words"), total.alias("left"))
+        whole = Window.partitionBy("of2")
+        cells = cells.withColumn("upto", F.sum("words").over(whole.orderBy("cell"))).withColumn("left", (F.sum if met is None else F.max)("left").over(whole))
+        meets = F.min_by(F.struct("cell", (F.col("left") - F.col("upto") + F.col("words")).alias("left")), F.when(F.col("upto") >= F.col("left"), F.col("cell")))
+        met = checkpointed(cells.groupBy("of2").agg(meets.alias("m")).select(F.col("of2").alias("_kw_of2"), F.col("m.cell").alias("_kw_met"), F.col("m.left").alias("left")))
+        met = broadcast_if_small(met, 60)
+    inside = _inside(rated, met, LEVELS)
+    inside = inside.groupBy("_kw_of2", "_kw_at").agg(F.sum("_kw_size").alias("words"), F.first("left").alias("left"))
     inside = inside.withColumn("upto", F.sum("words").over(Window.partitionBy("_kw_of2").orderBy("_kw_at")))
     last = inside.groupBy("_kw_of2").agg(F.max(F.when(F.col("upto") - F.col("words") / 2 <= F.col("left"), F.col("_kw_at"))).alias("last"))
     last = met.select(F.col("_kw_of2").alias("of3"), "_kw_met").join(last, F.col("of3").eqNullSafe(F.col("_kw_of2")), "left")
     # Without a document to be taken in its cell, the threshold lies just below the cell.
-    last = last.select("of3", F.coalesce("last", F.col("_kw_met") / F.lit(float(CELLS)) - F.lit(2.0**-60)).alias("_kw_last"))
+    last = last.select("of3", F.coalesce("last", F.col("_kw_met") / F.lit(float(CELLS**LEVELS)) - F.lit(2.0**-60)).alias("_kw_last"))
     return checkpointed(plan.join(last, plan["_kw_of"].eqNullSafe(last["of3"]), "left").drop("of3"))
 
 
