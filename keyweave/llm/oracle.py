@@ -45,7 +45,23 @@ judged AS (SELECT c.*, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS ba
 def oracle_sql() -> dict[str, str]:
     upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
     rules = ", ".join(f"('{v}', '{r}')" for v, r in (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")))
+    render = lambda x: f"array_to_string(list_transform({x}, lambda t: '<|im_start|>' || t.role || chr(10) || t.text || '<|im_end|>' || chr(10)), '')"
+    before = lambda x: f"coalesce(list_sum(list_transform({x}[1:i - 1], lambda t: length(t.role) + length(t.text) + 24)), 0)"
+    spans = lambda x: f"array_to_string(list_transform(list_filter(range(1, len({x}) + 1), lambda i: {x}[i].role = 'assistant'), lambda i: ({before(x)} + length({x}[i].role) + 13)::BIGINT::VARCHAR || '+' || (length({x}[i].text) + 10)::VARCHAR), ',')"
+    group = lambda i: f"('0x' || substr(hex, {5 * i + 1}, 5))::BIGINT"
+    base32 = " || ".join(f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (({group(i)} >> {shift}) & 31)::INT + 1, 1)" for i in range(8) for shift in (15, 10, 5, 0))
     return {
+        "op6_warc": f"""
+WITH payloads AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS hex FROM pages),
+placed AS (SELECT *, max(page_id) OVER (PARTITION BY html) AS original FROM payloads)
+SELECT page_id, strlen(html) AS payload_bytes, {base32} AS payload_digest, CASE WHEN page_id = original THEN 'response' ELSE 'revisit' END AS record_type, nullif(original, page_id) AS refers_to FROM placed""",
+        "op7_chat_formatting": f"""
+WITH turns AS (SELECT floor(conv_id / 2)::BIGINT AS pair_id, conv_id % 2 = 0 AS is_chosen, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text FROM conversations),
+sides AS (SELECT pair_id, coalesce(list({{'role': role, 'text': text}} ORDER BY turn NULLS FIRST, role, text) FILTER (is_chosen), []) AS c, coalesce(list({{'role': role, 'text': text}} ORDER BY turn NULLS FIRST, role, text) FILTER (NOT is_chosen), []) AS r FROM turns GROUP BY pair_id),
+counted AS (SELECT *, coalesce(list_min(list_filter(range(0, least(len(c), len(r))), lambda i: c[i + 1] <> r[i + 1])), least(len(c), len(r)))::INT AS n FROM sides),
+rest AS (SELECT *, c[n + 1:] AS cr, r[n + 1:] AS rr FROM counted)
+SELECT pair_id, n AS n_prompt_turns, {render("c[1:n]")} AS prompt, CASE WHEN len(c) > 0 THEN {render("cr")} END AS chosen, CASE WHEN len(r) > 0 THEN {render("rr")} END AS rejected,
+  CASE WHEN len(c) > 0 THEN {spans("cr")} END AS chosen_mask, CASE WHEN len(r) > 0 THEN {spans("rr")} END AS rejected_mask FROM rest""",
         "op3_quality_rules": f"WITH {quality_ctes()} SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, n_lines FROM judged",
         "op4_url_filters": f"""
 WITH rest AS (SELECT row_number() OVER () AS uid, page_id, CASE WHEN contains(url, '://') THEN regexp_extract(url[strpos(url, '://') + 3:], '^[^?#]*') ELSE '' END AS rest FROM pages),
