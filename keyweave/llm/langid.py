@@ -26,6 +26,7 @@ OFFSETS = np.cumsum([0, *(1 << b for b in BITS)])
 #: Bounds of the fit: rows per language, rows in all, landmarks in all. Scoring has none.
 ROWS_EACH, MOST_ROWS, LANDMARKS = 200, 2000, 256
 RIDGE = 1e-3
+SLICES = 32
 #: Texts in one matrix product.
 BATCH = 64
 #: From this score on a prediction contradicts a declared language.
@@ -132,8 +133,11 @@ def fit(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lan
     keys = checkpointed(rows.select("lang", "hash").distinct())
     n_langs = keys.select("lang").distinct().count()
     each = max(1, min(ROWS_EACH, MOST_ROWS // max(1, n_langs)))
-    ranked = keys.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("hash")))
-    wanted = checkpointed(ranked.where(F.col("rank") <= each).where(F.col("lang").isNotNull()).drop("rank"))
+    # A hot language is ranked in slices first.
+    wanted = keys
+    for by in (["lang", F.pmod(F.col("hash"), F.lit(SLICES))], ["lang"]):
+        wanted = wanted.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy("hash"))).where(F.col("rank") <= each).drop("rank")
+    wanted = checkpointed(wanted)
 
     def pack(texts: pd.Series) -> pd.Series:
         out = []
