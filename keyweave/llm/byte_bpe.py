@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StructField, StructType
 
-from keyweave.llm._common import checkpointed
+from keyweave.llm._common import checkpointed, release_memory
 
 #: A block is closed after this many characters of text.
 BLOCK_CHARS = 32 << 20
@@ -83,6 +83,26 @@ def gather(starts: np.ndarray, sizes: np.ndarray, picks: np.ndarray) -> tuple[np
     return np.arange(total) + np.repeat(starts[picks] - ends + taken, taken), taken
 
 
+class TokenBytes:
+    """The token-byte table, by id, and the join of arrays of ids with it."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        table = [b""] * (max(ranks.values(), default=-1) + 1)
+        for token, rank in ranks.items():
+            table[rank] = token
+        self.data = np.frombuffer(b"".join(table), np.uint8)
+        self.sizes = np.fromiter(map(len, table), np.int64, len(table))
+        self.starts = np.cumsum(self.sizes) - self.sizes
+
+    def join(self, ids: np.ndarray, ends: np.ndarray) -> pa.BinaryArray:
+        """The bytes of each run of ids; ends[i] to ends[i + 1] is run i."""
+        if len(ids) and not 0 <= ids.min() <= ids.max() < len(self.sizes):
+            raise ValueError("an id is not in the token-byte table")
+        places, taken = gather(self.starts, self.sizes, ids)
+        upto = np.r_[0, np.cumsum(taken)][ends].astype(np.int32)
+        return pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(upto), pa.py_buffer(self.data[places])])
+
+
 #: kind 0: a block's words of one part in rising order of their numbers (sizes, payload, differences of the numbers); kind 1: positions of some texts (keys, sizes: pre-tokens per text, payload).
 def _split_schema(key_type) -> StructType:
     fields = [("kind", IntegerType()), ("block", LongType()), ("place", LongType()), ("keys", ArrayType(key_type)), ("sizes", BinaryType()), ("payload", BinaryType()), ("numbers", BinaryType())]
@@ -111,6 +131,7 @@ class _Block:
         renumbered = np.empty(n, np.uint32)  # frequent words get small numbers
         renumbered[np.argsort(-uses, kind="stable")] = np.arange(n, dtype=np.uint32)
         words = [w.encode() for w in self.words]
+        self.words.clear()
         part = np.fromiter(map(zlib.crc32, words), np.uint32, n) % np.uint32(self.parts)
         order = np.lexsort((renumbered, part))
         cuts = np.searchsorted(part[order], np.arange(self.parts + 1))
@@ -135,6 +156,7 @@ def _splitter(pattern: str, parts: int):
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find, number = regex.compile(pattern).findall, TaskContext.get().partitionId() << 32
         block = schema = None
+        release_memory()
         for batch in batches:
             if block is None:
                 fields = [("kind", pa.int32()), ("block", pa.int64()), ("place", pa.int64()), ("keys", pa.list_(batch.column(0).type)), ("sizes", pa.binary()), ("payload", pa.binary()), ("numbers", pa.binary())]
@@ -144,17 +166,22 @@ def _splitter(pattern: str, parts: int):
                 block.add(key, text.as_py(), find)
                 if block.chars >= BLOCK_CHARS:
                     yield from block.rows()
+                    release_memory()
                     number += 1
                     block = _Block(number, parts, schema)
         if block is not None and block.keys:
             yield from block.rows()
+        block = batch = None
+        release_memory()
 
     return split
 
 
-def encode(df: DataFrame, ranks: dict[bytes, int], pattern: str, key: str = "doc_id", text: str = "text", parts: int | None = None) -> DataFrame:
+def encode(df: DataFrame, ranks: dict[bytes, int], pattern: str, key: str = "doc_id", text: str = "text", parts: int | None = None, decoded: bool = False) -> DataFrame:
     """One row per row of df: doc_id, ids (array of int), as encoding each text's pre-tokens by ranks gives, without special tokens.
 
+    decoded adds what decode(...) gives for these ids, joined in the same task.
+
     parts: tasks that own the distinct words, by default the session's shuffle partitions; a task holds
     its share of the corpus's distinct words, a block's task the words and ids of BLOCK_CHARS of text.
     A common word comes once from each block, so no part is hot. Rows in the shared folder between the
@@ -173,16 +200,18 @@ def encode(df: DataFrame, ranks: dict[bytes, int], pattern: str, key: str = "doc
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         piece = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=shared.value, special_tokens={})._encode_single_piece
-        known: dict[bytes, np.ndarray] = {}
+        known: dict[bytes, bytes] = {}
+        release_memory()
         for batch in batches:
             out = []
             for row in batch.to_pylist():
                 words = unpack_words(row["sizes"], row["payload"])
                 for word in words:
                     if word not in known:
-                        known[word] = np.array(piece(word), np.uint32)
+                        known[word] = np.array(piece(word), np.uint32).tobytes()
                 found = [known[w] for w in words]
-                out.append((row["block"], row["numbers"], pack(np.fromiter(map(len, found), np.uint32, len(found))), pack_ids(np.concatenate(found))))
+                counts = np.fromiter(map(len, found), np.uint32, len(found)) // 4
+                out.append((row["block"], row["numbers"], pack(counts), pack_ids(np.frombuffer(b"".join(found), np.uint32))))
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate((pa.int64(), pa.binary(), pa.binary(), pa.binary()))], names=["block", "numbers", "sizes", "ids"])
 
     words = made.where("kind = 0").select("place", "block", "sizes", "payload", "numbers").repartition(parts, "place")
@@ -190,6 +219,7 @@ def encode(df: DataFrame, ranks: dict[bytes, int], pattern: str, key: str = "doc
     texts = made.where("kind = 1").select("block", "place", "keys", "sizes", "payload")
 
     def reassemble(texts: pa.Table, words: pa.Table) -> pa.Table:
+        release_memory()
         sizes = np.zeros(0, np.int64)
         numbers = [np.cumsum(unpack(x), dtype=np.int64) for x in words.column("numbers").to_pylist()]
         counts, ids = [unpack(x) for x in words.column("sizes").to_pylist()], [unpack_ids(x) for x in words.column("ids").to_pylist()]
@@ -198,16 +228,20 @@ def encode(df: DataFrame, ranks: dict[bytes, int], pattern: str, key: str = "doc
             sizes, starts = np.zeros(len(number), np.int64), np.zeros(len(number), np.int64)
             sizes[number], starts[number] = count, np.cumsum(count) - count
         flat = np.concatenate([*ids, np.zeros(0, np.uint16)]).astype(np.int32)
-        keys, lists = [], []
+        keys, lists, back = [], [], []
+        table = TokenBytes(shared.value) if decoded else None
         for row in sorted(texts.to_pylist(), key=lambda r: r["place"]):
             per_text, at = unpack(row["sizes"]).astype(np.int64), unpack(row["payload"])
             places, taken = gather(starts, sizes, at) if len(at) else (at.astype(np.int64), at)
             upto = np.r_[0, np.cumsum(taken)][np.r_[0, np.cumsum(per_text)]]
             lists.append(pa.ListArray.from_arrays(pa.array(upto.astype(np.int32)), pa.array(flat[places])))
+            if table:
+                back.append(table.join(flat[places], upto))
             keys += row["keys"]
-        return pa.table([pa.array(keys, texts.schema.field("keys").type.value_type), pa.chunked_array(lists, pa.list_(pa.int32()))], names=["doc_id", "ids"])
+        columns = {"doc_id": pa.array(keys, texts.schema.field("keys").type.value_type), "ids": pa.chunked_array(lists, pa.list_(pa.int32()))}
+        return pa.table(columns | ({"decoded": pa.chunked_array(back, pa.binary())} if decoded else {}))
 
-    schema = StructType([StructField("doc_id", key_type), StructField("ids", ArrayType(IntegerType()))])
+    schema = StructType([StructField("doc_id", key_type), StructField("ids", ArrayType(IntegerType())), *([StructField("decoded", BinaryType())] if decoded else [])])
     return texts.groupBy("block").cogroup(merged.groupBy("block")).applyInArrow(reassemble, schema)
 
 
@@ -218,26 +252,16 @@ def decode(df: DataFrame, ranks: dict[bytes, int], ids: str = "ids", decoded: st
     A null array gives null, an empty one no bytes; an id outside the table is an error; an id that is
     null is left out.
     """
-    table = [b""] * (max(ranks.values(), default=-1) + 1)
-    for token, rank in ranks.items():
-        table[rank] = token
-    shared = df.sparkSession.sparkContext.broadcast(table)
+    shared = df.sparkSession.sparkContext.broadcast(ranks)
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        data = np.frombuffer(b"".join(shared.value), np.uint8)
-        sizes = np.fromiter(map(len, shared.value), np.int64, len(shared.value))
-        starts = np.cumsum(sizes) - sizes
+        table = TokenBytes(shared.value)
         for batch in batches:
-            lists = batch.column(batch.schema.get_field_index(ids))
+            at = batch.schema.get_field_index(ids)
             out = []
-            for one in lists:
-                if not one.is_valid:
-                    out.append(None)
-                    continue
-                at = one.values.drop_null().to_numpy()
-                if len(at) and not 0 <= at.min() <= at.max() < len(sizes):
-                    raise ValueError("an id is not in the token-byte table")
-                out.append(data[gather(starts, sizes, at)[0]].tobytes())
+            for one in batch.column(at):
+                run = one.values.drop_null().to_numpy() if one.is_valid else None
+                out.append(None if run is None else table.join(run, np.array([0, len(run)]))[0].as_py())
             kept = [c for c in batch.schema.names if c != decoded]
             yield pa.RecordBatch.from_arrays([*[batch.column(batch.schema.get_field_index(c)) for c in kept], pa.array(out, pa.binary())], names=[*kept, decoded])
 

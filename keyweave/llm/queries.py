@@ -41,8 +41,7 @@ def byte_bpe_digests(documents: DataFrame, vocabulary: str = "byte_bpe_multi_50k
     import public_tokenizers
 
     ranks = byte_bpe.read_ranks(public_tokenizers.path(vocabulary))
-    encoded = byte_bpe.encode(documents, ranks, public_tokenizers.PATTERN)
-    return byte_bpe.digests(byte_bpe.decode(encoded, ranks))
+    return byte_bpe.digests(byte_bpe.encode(documents, ranks, public_tokenizers.PATTERN, decoded=True))
 
 
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
