@@ -118,8 +118,8 @@ def judge_urls(df: DataFrame, rules: Sequence[Rule], key: str = "page_id", url:
     read whole. Repeated rows and equal keys are judged one by one; an empty table gives an empty
     result. Other columns are not looked at.
     """
-    order = tuple(ranked(rules))
-    names, verdicts = tuple(r.rule for r in order), {r.rule: r.verdict for r in order}
+    verdicts = {r.rule: r.verdict for r in reversed(ranked(rules))}  # of one rule's verdicts the first counts
+    names = tuple(reversed(verdicts))
 
     def winner(host: pd.Series, path: pd.Series) -> pd.Series:
         fits = _compiled(names).match([f".{h}{p}".encode() for h, p in zip(host, path)])
