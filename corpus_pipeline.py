@@ -21,8 +21,8 @@ def apply_quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the least id stays."""
-    return simhash.keep_one_of_each(docs)
+    """Of each group of texts whose five-word shingles are alike to 0.8 or more, the document with the least id stays."""
+    return simhash.keep_one_of_each(docs, words_each=5, similarity=0.8)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,4 +1,6 @@
-"""SimHash near-duplicates: 64-bit fingerprints linked within a Hamming radius by BK-trees.
+"""SimHash near-duplicates: 64-bit fingerprints linked by BK-trees, within a radius or by similarity.
+
+By radius (near_duplicates):
 
 Fingerprints that differ in at most 3 of 64 bits agree in one of four 16-bit bands. So distinct
 fingerprints are dealt out by (band, its 16 bits), and each such shard has a BK-tree of its own;
@@ -6,11 +8,17 @@ the sum of all trees grows with the corpus, so a tree goes to the queries of its
 all executors. Shards above TREE fingerprints are cut into blocks; each pair of blocks is a task
 of its own, to which the tree of one block and the queries of the other are sent. Links leave a
 task as a spanning forest, at most one per fingerprint, which keeps all that connects.
+
+By similarity (similar_texts): texts whose sets of word shingles have a Jaccard similarity of 0.8
+differ in some 10 bits, too many for bands. There the shards are made of texts that share two
+minima of their shingles' hashes, in any of TABLES pairs; each shard's tree is asked with SIMILAR_RADIUS,
+a signature of 128 minima thins out what it finds, and the texts themselves decide.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -76,20 +84,31 @@ class BKTree:
         return found
 
 
-def _forest(tree_values: list[int], queries: list[int] | None, radius: int) -> list[tuple[int, int]]:
-    """Links that connect what any links within the radius connect; queries None: among the tree's own values."""
-    tree, links, parent = BKTree(), [], {}
+class _Sets:
+    """Disjoint sets of any values."""
+
+    def __init__(self):
+        self.parent: dict = {}
 
-    def top(x: int) -> int:
-        while (up := parent.get(x, x)) != x:
-            parent[x] = x = parent.get(up, up)
+    def top(self, x):
+        while (up := self.parent.get(x, x)) != x:
+            self.parent[x] = x = self.parent.get(up, up)
         return x
 
+    def join(self, a, b) -> bool:
+        """Whether a and b were apart."""
+        a, b = self.top(a), self.top(b)
+        self.parent[a] = b
+        return a != b
+
+
+def _forest(tree_values: list[int], queries: list[int] | None, radius: int) -> list[tuple[int, int]]:
+    """Links that connect what any links within the radius connect; queries None: among the tree's own values."""
+    tree, links, sets = BKTree(), [], _Sets()
+
     def link(value: int) -> None:
         for at in tree.within(value, radius):
-            a, b = top(value), top(tree.values[at])
-            if a != b:
-                parent[a] = b
+            if sets.join(value, tree.values[at]):
                 links.append((value, tree.values[at]))
 
     if queries is None:
@@ -104,39 +123,65 @@ def _forest(tree_values: list[int], queries: list[int] | None, radius: int) -> l
     return links
 
 
-def _search(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
-    """Rows (task, in_tree, same, fp), sorted by task; runs of a task may go over several batches."""
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-
-    def solved(rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        task, in_tree, same, fp = rows
-        edges = np.flatnonzero(np.diff(task)) + 1
-        starts, ends = np.r_[0, edges], np.r_[edges, len(task)]
-        links: list[tuple[int, int]] = []
-        for i in np.flatnonzero(ends - starts > 1):
-            run = slice(starts[i], ends[i])
-            values = fp[run].astype(np.uint64).tolist()
-            if same[starts[i]]:
-                links += _forest(values, None, radius)
-            else:
-                own = in_tree[run]
-                links += _forest([v for v, t in zip(values, own) if t], [v for v, t in zip(values, own) if not t], radius)
-        pairs = np.array(links, np.uint64).reshape(-1, 2).astype(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], schema=schema)
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+    """The columns of each run of rows with the same first column, by which they are sorted; runs of one row are left out."""
+
+    def arrays(batch: pa.RecordBatch) -> list[np.ndarray]:
+        return [c.to_numpy(zero_copy_only=False) for c in batch.columns]
 
     held: list[np.ndarray] | None = None
-    for batch in batches:
-        rows = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
-        if not len(rows[0]):
-            continue
-        if held is not None:
-            rows = [np.concatenate(x) for x in zip(held, rows)]
-        cut = int(np.searchsorted(rows[0], rows[0][-1]))  # the last task may go on
-        if cut:
-            yield from solved([x[:cut] for x in rows])
-        held = [x[cut:] for x in rows]
-    if held is not None:
-        yield from solved(held)
+    for batch in chain((b for b in batches if len(b)), [None]):
+        if batch is not None:
+            rows = arrays(batch)
+            if held is not None:
+                rows = [np.concatenate(x) for x in zip(held, rows)]
+            cut = int(np.searchsorted(rows[0], rows[0][-1]))  # the last run may go on
+            held = [x[cut:] for x in rows]
+        elif held is not None:
+            rows, cut = held, len(held[0])
+        else:
+            return
+        edges = np.flatnonzero(np.diff(rows[0][:cut])) + 1
+        starts, ends = np.r_[0, edges], np.r_[edges, cut]
+        for i in np.flatnonzero(ends - starts > 1):
+            yield [x[starts[i] : ends[i]] for x in rows]
+
+
+def _link_batches(links: Iterator[list[tuple[int, int]]]) -> Iterator[pa.RecordBatch]:
+    held: list[tuple[int, int]] = []
+    for some in links:
+        held += some
+        if len(held) >= 10_000:
+            yield _as_batch(held)
+            held = []
+    yield _as_batch(held)
+
+
+def _as_batch(links: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([x[i] for x in links], pa.int64()) for i in (0, 1)], names=["a", "b"])
+
+
+def _search(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
+    """Links of rows (task, in_tree, same, fp)."""
+
+    def links() -> Iterator[list[tuple[int, int]]]:
+        for _, in_tree, same, fp in _runs(batches):
+            values = fp.astype(np.uint64).tolist()
+            tree, queries = (values, None) if same[0] else ([v for v, t in zip(values, in_tree) if t], [v for v, t in zip(values, in_tree) if not t])
+            signed = lambda v: v - (1 << 64) if v >> 63 else v
+            yield [(signed(a), signed(b)) for a, b in _forest(tree, queries, radius)]
+
+    return _link_batches(links())
+
+
+def _tasks(rows: DataFrame, shard: list[str], item: str, tree: int) -> DataFrame:
+    """task, in_tree, same, item: shards above tree rows are cut into blocks, and each block meets each once; the lower one is the tree."""
+    large = checkpointed(rows.groupBy(*shard).agg(F.count("*").alias("n")).where(F.col("n") > tree))
+    rows = rows.join(broadcast_if_small(large, 40), shard, "left")
+    rows = rows.withColumn("blocks", F.coalesce(F.ceil(F.col("n") / tree), F.lit(1)))
+    rows = rows.withColumn("own", F.pmod(F.xxhash64(item), F.col("blocks"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    low, high = F.least("own", "other"), F.greatest("own", "other")
+    return rows.select(F.xxhash64(*shard, low, high).alias("task"), (F.col("own") == low).alias("in_tree"), (low == high).alias("same"), item)
 
 
 def link_fingerprints(values: DataFrame, radius: int = RADIUS, tree: int = TREE) -> DataFrame:
@@ -149,14 +194,7 @@ def link_fingerprints(values: DataFrame, radius: int = RADIUS, tree: int = TREE)
     masks = [((1 << bits) - 1 if b < bands - 1 else (1 << (64 - bits * b)) - 1) for b in range(bands)]
     part = F.array(*[F.shiftrightunsigned("fp", bits * b).bitwiseAND(F.lit(m - (1 << 64) if m >= 1 << 63 else m)) for b, m in enumerate(masks)])
     rows = values.select("fp", F.posexplode(part).alias("band", "part"))
-    large = checkpointed(rows.groupBy("band", "part").agg(F.count("*").alias("n")).where(F.col("n") > tree))
-    rows = rows.join(broadcast_if_small(large, 40), ["band", "part"], "left")
-    # Block c of a large shard meets each block j once: the lower one is the tree.
-    rows = rows.withColumn("blocks", F.coalesce(F.ceil(F.col("n") / tree), F.lit(1)))
-    rows = rows.withColumn("own", F.pmod(F.xxhash64("fp"), F.col("blocks"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    low, high = F.least("own", "other"), F.greatest("own", "other")
-    tasks = rows.select(F.xxhash64("band", "part", low, high).alias("task"), "band", "part", low.alias("low"), high.alias("high"), (F.col("own") == low).alias("in_tree"), (low == high).alias("same"), "fp")
-    tasks = tasks.repartition("task").sortWithinPartitions("task", "band", "part", "low", "high", "fp").select("task", "in_tree", "same", "fp")
+    tasks = _tasks(rows, ["band", "part"], "fp", tree).repartition("task").sortWithinPartitions("task", "fp")
     return tasks.mapInArrow(lambda batches: _search(batches, radius), "a long, b long")
 
 
@@ -170,35 +208,158 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", radi
     an empty table gives an empty result; other columns are not looked at.
     """
     rows = checkpointed(df.select(F.col(key).alias("doc_id"), fingerprints_of(text).alias("fp")))
-    return _grouped(rows, radius).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return _grouped_by_radius(rows, radius).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def _grouped(rows: DataFrame, radius: int) -> DataFrame:
-    """rows (with doc_id and fp) with component_id."""
-    nodes = checkpointed(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    found = checkpointed(components(link_fingerprints(nodes.select("fp"), radius)))
-    linked = nodes.join(found, nodes["fp"] == found["node"])
+def _named(nodes: DataFrame, node: str, links: DataFrame) -> DataFrame:
+    """nodes (with node and least) with group, the least node reached, and component_id, the least key reached."""
+    found = checkpointed(components(links))
+    linked = nodes.join(found, nodes[node] == found["node"])
     roots = checkpointed(linked.groupBy("root").agg(F.min("least").alias("root_least")))
-    named = found.join(broadcast_if_small(roots, 24), "root").select("node", "root_least")
-    nodes = nodes.join(named, nodes["fp"] == named["node"], "left").select(F.col("fp").alias("_kw_fp"), F.when(F.col("node").isNotNull(), F.col("root_least")).otherwise(F.col("least")).alias("component_id"))
-    nodes = checkpointed(nodes)
-    return rows.join(nodes, rows["fp"] == nodes["_kw_fp"]).drop("_kw_fp")
+    named = found.join(broadcast_if_small(roots, 24), "root").select(F.col("node").alias("_kw_node"), "root", "root_least")
+    joined = nodes.join(named, nodes[node] == named["_kw_node"], "left")
+    component = F.when(F.col("root").isNotNull(), F.col("root_least")).otherwise(F.col("least"))
+    return joined.withColumn("component_id", component).withColumn("group", F.coalesce("root", node)).drop("_kw_node", "root", "root_least")
+
+
+def _grouped_by_radius(rows: DataFrame, radius: int) -> DataFrame:
+    """rows (with doc_id and fp) with component_id and group."""
+    nodes = checkpointed(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    named = checkpointed(_named(nodes, "fp", link_fingerprints(nodes.select("fp"), radius)).select(F.col("fp").alias("_kw_fp"), "component_id", "group"))
+    return rows.join(named, rows["fp"] == named["_kw_fp"]).drop("_kw_fp")
+
+
+#: Minima in a signature, pairs of them that make shards, and bits within which trees look.
+MINIMA, TABLES, SIMILAR_RADIUS = 128, 8, 20
+#: How far the signature's estimate may lie below the similarity: three standard deviations and more.
+SLACK = 0.12
+#: Up to so many texts in a task all their links are tried, beyond it a spanning forest of the likeliest.
+ALL_LINKS, SIMILAR_TREE = 64, 512
+
+_RANDOM = np.random.default_rng(42)
+_MULTIPLY = _RANDOM.integers(0, 1 << 63, MINIMA, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_ADD = _RANDOM.integers(0, 1 << 63, MINIMA, dtype=np.uint64)
+
+
+def shingle_hashes(text: str | None, words_each: int) -> np.ndarray:
+    """Distinct hashes of a whole text's shingles, sorted; a text of fewer words is one shingle, one without words a single zero."""
+    words = (text or "").encode().lower().split()
+    if not words:
+        return np.zeros(1, np.uint64)
+    shingles = map(b" ".join, zip(*(words[i:] for i in range(words_each)))) if len(words) >= words_each else [b" ".join(words)]
+    digest = xxhash.xxh64_intdigest
+    return np.unique(np.array([digest(s, 42) for s in shingles], np.uint64))
+
+
+def jaccard(left: str | None, right: str | None, words_each: int) -> float:
+    a, b = shingle_hashes(left, words_each), shingle_hashes(right, words_each)
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / (len(a) + len(b) - both)
+
+
+def signature(text: str | None, words_each: int) -> tuple[int, list[int], bytes]:
+    """Fingerprint of the set of shingles, shard keys, and a byte of each minimum."""
+    hashes = shingle_hashes(text, words_each)
+    counts, least = np.zeros(64, np.int64), np.full(MINIMA, (1 << 64) - 1, np.uint64)
+    for at in range(0, len(hashes), 4096):
+        some = hashes[at : at + 4096]
+        counts += np.unpackbits(some.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        least = np.minimum(least, (some[:, None] * _MULTIPLY + _ADD).min(axis=0))
+    fp = np.packbits(2 * counts > len(hashes), bitorder="little").view(np.int64)[0]
+    first, second = least[: 2 * TABLES : 2], least[1 : 2 * TABLES : 2]
+    keys = ((first * _MULTIPLY[:TABLES]) ^ (second >> np.uint64(7))) * _MULTIPLY[TABLES : 2 * TABLES] + second
+    return int(fp), keys.view(np.int64).tolist(), (least >> np.uint64(40)).astype(np.uint8).tobytes()
+
+
+def _signatures(words_each: int):
+    def signatures(texts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([signature(t, words_each) for t in texts], columns=["fp", "keys", "minima"])
+
+    return F.pandas_udf(signatures, "fp long, keys array<long>, minima binary")
+
+
+def _search_similar(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
+    """Links worth trying, of rows (task, in_tree, same, node, fp, minima)."""
+
+    def links() -> Iterator[list[tuple[int, int]]]:
+        for _, in_tree, same, node, fp, minima in _runs(batches):
+            values = fp.astype(np.uint64).tolist()
+            bytes_of = np.frombuffer(b"".join(minima), np.uint8).reshape(len(node), -1)
+            tree, places, found = BKTree(), [], []
+            turns = range(len(values)) if same[0] else [*np.flatnonzero(in_tree), *np.flatnonzero(~in_tree.astype(bool))]
+            for i in turns:
+                if same[0] or not in_tree[i]:
+                    near = np.array([places[at] for at in tree.within(values[i], SIMILAR_RADIUS)], np.int64)
+                    if len(near):
+                        alike = (bytes_of[near] == bytes_of[i]).mean(axis=1)
+                        found += [(-s, int(node[i]), int(node[j])) for s, j in zip(alike, near) if s >= similarity - SLACK]
+                if same[0] or in_tree[i]:
+                    tree.add(values[i])
+                    places.append(i)
+            if len(values) > ALL_LINKS:
+                sets = _Sets()
+                found = [f for f in sorted(found) if sets.join(f[1], f[2])]
+            yield [(min(a, b), max(a, b)) for _, a, b in found]
+
+    return _link_batches(links())
+
+
+def link_similar(nodes: DataFrame, similarity: float, tree: int | None = None) -> DataFrame:
+    """Links a, b to be tried between nodes (node, fp, keys, minima)."""
+    rows = nodes.select("node", F.explode(F.array_distinct("keys")).alias("shard"))
+    shared = checkpointed(rows.groupBy("shard").agg(F.count("*").alias("_kw_n")).where("_kw_n > 1").select("shard"))
+    rows = checkpointed(rows.join(shared, "shard"))
+    tasks = _tasks(rows, ["shard"], "node", tree or SIMILAR_TREE)
+    tasks = tasks.join(nodes.select("node", "fp", "minima"), "node").select("task", "in_tree", "same", "node", "fp", "minima")
+    tasks = tasks.repartition("task").sortWithinPartitions("task", "node")
+    return tasks.mapInArrow(lambda batches: _search_similar(batches, similarity), "a long, b long").distinct()
+
+
+def _grouped_by_similarity(df: DataFrame, key: str, text: str, words_each: int, similarity: float) -> DataFrame:
+    """doc_id, hash (of the text), component_id and group of each row of df."""
+    made = df.select(F.col(key).alias("doc_id"), F.xxhash64(F.col(text)).alias("hash"), _signatures(words_each)(F.col(text)).alias("s"))
+    rows = checkpointed(made.select("doc_id", "hash", "s.*"))
+    nodes = rows.groupBy("hash", "fp", "keys", "minima").agg(F.min("doc_id").alias("least"))
+    nodes = checkpointed(nodes.withColumn("node", F.monotonically_increasing_id()))
+    tried = checkpointed(link_similar(nodes, similarity))
+    # The texts of linked nodes, one of each; other texts are not moved.
+    ends = tried.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    ends = checkpointed(ends.join(nodes, "node").select("node", F.col("hash").alias("_kw_hash")))
+    texts = df.select(F.xxhash64(F.col(text)).alias("hash"), F.col(text).cast("string").alias("text"))
+    texts = texts.join(broadcast_if_small(ends, 24), F.col("hash") == F.col("_kw_hash")).groupBy("node").agg(F.first("text").alias("text"))
+    texts = checkpointed(texts)
+    left, right = texts.toDF("a", "left"), texts.toDF("b", "right")
+    exact = F.pandas_udf(lambda a, b: pd.Series([jaccard(x, y, words_each) for x, y in zip(a, b)], dtype="float64"), "double")
+    links = tried.join(left, "a").join(right, "b").where(exact("left", "right") >= similarity).select("a", "b")
+    named = checkpointed(_named(nodes.select("node", "hash", "fp", "least"), "node", links).select(F.col("hash").alias("_kw_hash"), F.col("fp").alias("_kw_fp"), "component_id", "group"))
+    return rows.select("doc_id", "hash", "fp").join(named, (F.col("hash") == F.col("_kw_hash")) & (F.col("fp") == F.col("_kw_fp"))).select("doc_id", "hash", "component_id", "group")
+
+
+def similar_texts(df: DataFrame, key: str = "doc_id", text: str = "text", words_each: int = 5, similarity: float = 0.8) -> DataFrame:
+    """One row per row of df: doc_id, component_id.
+
+    Texts are linked if the sets of their shingles of words_each words have a Jaccard similarity of at
+    least similarity; component_id is the least doc_id reached. No pair below the similarity is linked. A
+    pair at 0.8 shares a shard with a probability of 0.9997, a closer one with more; if over ALL_LINKS
+    texts of a shard are alike, only a spanning forest of the likeliest links is tried.
+
+    Null, empty and blank texts are alike; a text of fewer words is one shingle. Long texts are read whole.
+    Null keys are passed over for component_id. Repeated rows keep a row each; an empty table gives an
+    empty result; other columns are not looked at.
+    """
+    return _grouped_by_similarity(df, key, text, words_each, similarity).select("doc_id", "component_id")
 
 
-def keep_one_of_each(df: DataFrame, key: str = "doc_id", text: str = "text", radius: int = RADIUS) -> DataFrame:
-    """The rows of df with all columns, of each component only that with the least key (null keys last).
+def keep_one_of_each(df: DataFrame, key: str = "doc_id", text: str = "text", words_each: int = 5, similarity: float = 0.8) -> DataFrame:
+    """The rows of df with all columns, of each component of similar_texts only that with the least key (null keys last).
 
     If several rows of a component share that key, one of them stays, that with the least hash of its text.
     Only the dropped keys and text hashes are joined back, as an anti join, so texts are not shuffled
     while these are few, and keys need not be unique.
     """
-    rows = checkpointed(df.select(F.col(key).alias("doc_id"), F.xxhash64(F.col(text)).alias("hash"), fingerprints_of(text).alias("fp")))
-    grouped = _grouped(rows, radius).groupBy("component_id", "fp", "doc_id", "hash").agg(F.count("*").alias("n"))
-    # A component of null keys only has a null id, so its root's place is taken by the fingerprint's own.
-    grouped = checkpointed(grouped)
-    group = [F.col("component_id"), F.when(F.col("component_id").isNull(), F.col("fp"))]
-    best = grouped.groupBy(*[c.alias(f"g{i}") for i, c in enumerate(group)]).agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "hash")).alias("best"))
-    joined = grouped.join(checkpointed(best), group[0].eqNullSafe(F.col("g0")) & group[1].eqNullSafe(F.col("g1")))
+    grouped = checkpointed(_grouped_by_similarity(df, key, text, words_each, similarity).groupBy("group", "doc_id", "hash").agg(F.count("*").alias("n")))
+    best = grouped.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "hash")).alias("best"))
+    joined = grouped.join(checkpointed(best), "group")
     stays = F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("hash") == F.col("best.hash"))
     fates = checkpointed(joined.select(F.col("doc_id").alias("_kw_key"), F.col("hash").alias("_kw_hash"), stays.alias("stays"), "n"))
     gone = broadcast_if_small(checkpointed(fates.where("not stays").select("_kw_key", "_kw_hash")), 24)

@@ -1,0 +1,99 @@
+"""The pipeline against plain Python, stage by stage, and on odd rows."""
+
+import hashlib
+import re
+from collections import Counter
+
+import pytest
+import tiktoken
+
+import __spark_entry__
+import corpus_pipeline
+import public_tokenizers
+from keyweave.llm import byte_bpe, langid, mixing, quality
+from tests.llm.test_simhash import plain_similar
+
+
+@pytest.fixture(scope="module")
+def stages(spark, documents, sf_dir, tmp_path_factory):
+    out, docs = [("documents", documents)], documents
+    for name, stage in corpus_pipeline.STAGES:
+        path = str(tmp_path_factory.mktemp("stage") / name)
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+        out.append((name, docs))
+    return dict(out)
+
+
+def keys(df):
+    return Counter(r.doc_id for r in df.collect())
+
+
+def test_names_and_columns(stages, documents):
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "quality_rules", "simhash_near_dedup", "mixing", "byte_bpe"]
+    assert all(df.columns == documents.columns for name, df in stages.items() if name != "byte_bpe")
+    assert "pipeline" in __spark_entry__.queries() and corpus_pipeline.ORACLE_SQL is None
+
+
+def test_language_stage(stages, documents):
+    model = langid.fit(documents)
+    rows = documents.collect()
+    names, scores = model.score([r.text for r in rows])
+    want = {r.doc_id for r, n, s in zip(rows, names, scores) if n != "und" and not (r.lang is not None and n != r.lang and s >= langid.CONFIDENT)}
+    assert set(keys(stages["language_id"])) == want
+
+
+def test_quality_stage(stages):
+    verdicts = {r.doc_id: r.kept for r in quality.judge_quality(stages["language_id"]).collect()}
+    assert set(keys(stages["quality_rules"])) == {k for k, kept in verdicts.items() if kept}
+    labels = stages["documents"].sparkSession.read.parquet("/root/testdata/sf0.001/labels.parquet").collect()
+    good = {r.doc_id for r in labels if r.quality == 1}
+    long = {r.doc_id for r in stages["language_id"].collect() if not quality_fails_base(r.text)}
+    assert good & long <= set(keys(stages["quality_rules"]))
+
+
+def quality_fails_base(text):
+    n, _, _, _, repeats, _ = quality.count_text(text)
+    return n < 50 or 100 * repeats > 50 * n
+
+
+def test_near_duplicate_stage(stages):
+    want = {least for _, least in plain_similar([tuple(r) for r in stages["quality_rules"].collect()])}
+    assert sorted(keys(stages["simhash_near_dedup"]).elements()) == sorted(want)
+
+
+def test_mixing_stage(stages):
+    copies = {r.doc_id: r.copies for r in mixing.mix_documents(stages["simhash_near_dedup"]).collect()}
+    assert keys(stages["mixing"]) == Counter({k: n for k, n in copies.items() if n})
+    text = {r.doc_id: r.text for r in stages["documents"].collect()}
+    assert all(r.text == text[r.doc_id] for r in stages["mixing"].collect())
+
+
+def test_encoding_stage(stages):
+    ranks = byte_bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    library = tiktoken.Encoding("library", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    want = []
+    for r in stages["mixing"].collect():
+        ids = library.encode_ordinary(r.text)
+        want.append((r.doc_id, len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(r.text.encode()).hexdigest()))
+    assert sorted(tuple(r) for r in stages["byte_bpe"].collect()) == sorted(want)
+
+
+def test_run_is_the_stages(spark, sf_dir, stages):
+    assert sorted(map(tuple, corpus_pipeline.run(spark, sf_dir).collect())) == sorted(map(tuple, stages["byte_bpe"].collect()))
+
+
+@pytest.mark.parametrize("which", ["odd", "no_documents"])
+def test_odd_rows_pass_every_stage(spark, sf_dir, which, request, tmp_path):
+    first = docs = request.getfixturevalue(which)
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, first, sf_dir).count() >= 0  # each stage by itself
+        made = stage(spark, docs, sf_dir)  # and on what the one before kept
+        assert name == "byte_bpe" or made.columns == docs.columns
+        made.write.parquet(str(tmp_path / name))
+        docs = spark.read.parquet(str(tmp_path / name))
+
+
+def test_no_guard_but_in_the_entry():
+    for module in (corpus_pipeline, *map(__import__, ("keyweave",))):
+        assert not re.search(r"except (ImportError|ModuleNotFoundError)", open(module.__file__).read())

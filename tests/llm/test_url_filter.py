@@ -1,0 +1,59 @@
+import re
+
+import duckdb
+import numpy as np
+import pytest
+
+from keyweave.llm import oracle
+from keyweave.llm.queries import URL_RULES
+from keyweave.llm.url_filter import Globs, Rule, judge_urls
+from tests.llm.conftest import with_extra
+
+
+def test_against_sql(spark, sf_dir):
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW pages AS SELECT * FROM '{sf_dir}/pages.parquet'")
+    made = judge_urls(spark.read.parquet(f"{sf_dir}/pages.parquet"), URL_RULES)
+    want = db.sql(f"SELECT page_id, host, path, rule, verdict FROM ({oracle.oracle_sql()['op4_url_filters']})").fetchall()
+    assert sorted((tuple(r) for r in made.collect()), key=str) == sorted(want, key=str)
+
+
+CASES = [
+    (None, "", "", None, "allow"), ("", "", "", None, "allow"), ("no scheme.net/", "", "", None, "allow"), ("http://a.NET/x", "a.net", "/x", "net/", "block"),
+    ("http://net/", "net", "/", "net/", "block"), ("http://xnet/", "xnet", "/", None, "allow"), ("http://a.net", "a.net", "", None, "allow"),
+    ("http://a.net?q=/", "a.net", "", None, "allow"), ("http://a.net#/", "a.net", "", None, "allow"), ("http://a.com/.net/x", "a.com", "/.net/x", None, "allow"),
+    ("HTTP://www.Example.net/en/p?q#f", "www.example.net", "/en/p", "example.net/en/", "allow"), ("http://example.net/EN/", "example.net", "/EN/", "net/", "block"),
+    ("http://a.example.com/de/", "a.example.com", "/de/", "example.com/de/", "block"), ("http://example.com/de", "example.com", "/de", None, "allow"),
+    ("http://x.org/fr/a://b.net/", "x.org", "/fr/a://b.net/", "org/fr/", "allow"), ("http://a.net:80/x", "a.net:80", "/x", None, "allow"),
+    ("ftp://\u00c9.net/\n/x", "\u00c9.net", "/\n/x", "net/", "block"), ("http://" + "a." * 5000 + "net/" + "y" * 20000, "a." * 5000 + "net", "/" + "y" * 20000, "net/", "block"),
+]
+
+
+def test_odd_urls(spark):
+    rows = [(i, c[0], "h") for i, c in enumerate(CASES)] + [(0, CASES[3][0], "h"), (None, CASES[3][0], "h")]
+    made = judge_urls(with_extra(spark.createDataFrame(rows, "page_id long, url string, html string")).drop("label").selectExpr("*", "1 AS host", "2 AS rule"), URL_RULES).collect()
+    got = {r.page_id: tuple(r)[1:] for r in made if r.rule != "net/" or r.page_id not in (0, None)}
+    assert len(made) == len(rows)
+    for i, case in enumerate(CASES):
+        if i:
+            assert got[i] == case[1:], case[0][:80]
+    assert judge_urls(spark.createDataFrame([], "page_id long, url string"), URL_RULES).count() == 0
+    assert {r.verdict for r in judge_urls(spark.createDataFrame(rows, "page_id long, url string, html string"), []).collect()} == {"allow"}
+
+
+def test_ties_and_lengths(spark):
+    df = spark.createDataFrame([(1, "http://a.b/c/d")], "page_id long, url string")
+    assert judge_urls(df, [Rule("allow", "b/c/"), Rule("block", "a.b/")]).first()[3:] == ("a.b/", "block")
+    assert judge_urls(df, [Rule("allow", "b/c/"), Rule("block", "b/c/")]).first()[3:] == ("b/c/", "block")
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_globs_against_regular_expressions(seed):
+    rng = np.random.default_rng(seed)
+    pick = lambda letters, n: "".join(rng.choice(list(letters), n))
+    globs = [pick("ab/.*", rng.integers(1, 30)).replace("***", "**").replace("***", "**") for _ in range(40)]
+    texts = [pick("ab/.", rng.integers(0, 25)) for _ in range(200)] + [""]
+    patterns = [re.compile("".join(".*" if p == "**" else "[^/]*" if p == "*" else re.escape(p) for p in re.findall(r"\*\*|\*|[^*]", g)), re.S) for g in globs]
+    want = np.array([[p.fullmatch(t) is not None for p in patterns] for t in texts])
+    assert Globs(globs).words > 1
+    assert (Globs(globs).match([t.encode() for t in texts]) == want).all()

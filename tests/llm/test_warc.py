@@ -1,0 +1,95 @@
+import base64
+import gzip
+import hashlib
+from collections import defaultdict
+
+import pytest
+from pyspark.sql import functions as F
+
+from keyweave.llm import warc
+from tests.llm.conftest import with_extra
+
+PAGE = "page_id long, url string, html string"
+
+
+def brute(rows, min_bytes=0):
+    by = defaultdict(list)
+    for page, _, html in rows:
+        by[(html or "").encode()].append(page)
+    out = []
+    for body, pages in by.items():
+        known = [p for p in pages if p is not None]
+        first = max(known) if len(pages) > 1 and known and len(body) >= min_bytes else None
+        for p in pages:
+            to = first if p != first else None
+            out.append((p, len(body), base64.b32encode(hashlib.sha1(body).digest()).decode(), "response" if to is None else "revisit", to))
+    return sorted(out, key=str)
+
+
+def rows(df):
+    return sorted((tuple(r) for r in df.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to").collect()), key=str)
+
+
+def test_test_table(spark, sf_dir):
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    assert rows(warc.archive_and_read(pages)) == brute([tuple(r) for r in pages.select("page_id", "url", "html").collect()])
+
+
+ODD = [
+    (1, "http://b.example.org/x?q=1#f", "same"), (2, None, "same"), (3, "http://b.example.org/x?q=1", "same"), (4, "http://user@B.example.org/x?q=1", "other"), (5, "not a url", None), (6, "", ""),
+    (None, "http://a.org/", "same"), (None, "http://a.org/", "lonely"), (None, None, "lonely"), (7, "http://a.org/\r\nWARC-Type: resource", "a\r\n\r\nb"), (8, "http://é.org/中", "é" * 300_000),
+    (9, "http://dup.org/", "twice"), (9, "http://dup.org/", "twice"), (10, "http://a.org", "HTTP/1.1 200 OK\r\nContent-Length: 3\r\n\r\nabc"),
+]
+
+
+@pytest.fixture(scope="module")
+def pages(spark):
+    return with_extra(spark.createDataFrame(ODD, PAGE)).repartition(3)
+
+
+@pytest.mark.parametrize("min_bytes", [0, 5])
+def test_odd_rows(pages, min_bytes, monkeypatch):
+    assert rows(warc.archive_and_read(pages, min_bytes=min_bytes)) == brute(ODD, min_bytes)
+
+
+def test_empty_table(spark):
+    assert warc.archive_and_read(spark.createDataFrame([], PAGE)).count() == 0
+
+
+def test_keys_lookups_and_files(spark, pages, tmp_path):
+    captures = warc.write_archive(pages, str(tmp_path / "archive"))
+    files = warc.write_index(captures, str(tmp_path / "index"))
+    keys = {r.page_id: r.url_key for r in captures.collect()}
+    assert keys[1] == keys[3] == keys[4] == "org,example,b)/x?q=1" and keys[5] == "not a url" and keys[2] == keys[6] == "" and keys[10] == "org,a)"
+    read = lambda wanted: warc.lookup(wanted, str(tmp_path / "archive"), str(tmp_path / "index"), files)
+    by_key = spark.createDataFrame([("org,example,b)/x?q=1",), ("absent",), ("org,example,b)/x?q=1",)], "url_key string")
+    assert sorted(r.page_id for r in read(by_key).collect()) == [1, 3, 4]
+    one = spark.createDataFrame([("org,example,b)/x?q=1", 4), ("org,example,b)/x?q=1", 99)], "url_key string, page_id long")
+    assert [(r.page_id, bytes(r.payload)) for r in read(one).collect()] == [(4, b"other")]
+    for r in captures.collect():
+        data = (tmp_path / "archive" / r.file).read_bytes()
+        record = gzip.decompress(data[r.offset : r.offset + r.length])
+        assert record.startswith(b"WARC/1.1\r\n") and record.endswith(b"\r\n\r\n")
+        assert record.count(b"WARC-Type: resource") == 0
+    whole = b"".join(gzip.decompress(p.read_bytes()) for p in (tmp_path / "archive").iterdir())
+    assert whole.count(b"WARC/1.1\r\n") == len(ODD)
+
+
+def test_many_blocks_and_a_hot_url(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "LINES", 7)
+    url = F.when(F.col("id") % 3 == 0, "http://hot.org/").otherwise(F.concat(F.lit("http://h"), F.col("id"), F.lit(".org/")))
+    df = spark.range(400).select(F.col("id").alias("page_id"), url.alias("url"), (F.col("id") % 50).cast("string").alias("html")).repartition(4)
+    captures = warc.write_archive(df, str(tmp_path / "archive"))
+    files = warc.write_index(captures, str(tmp_path / "index"))
+    read = lambda wanted: warc.lookup(wanted, str(tmp_path / "archive"), str(tmp_path / "index"), files)
+    hot = spark.createDataFrame([("org,hot)/",)], "url_key string")
+    assert sorted(r.page_id for r in read(hot).collect()) == list(range(0, 400, 3))
+    assert read(captures.select("url_key", "page_id")).count() == 400
+
+
+def test_damage_is_found():
+    record = warc.Record(1, "http://a.org/", "response", None, b"abc", 3, warc.digest_of(b"abc"))
+    data = warc.format_record(record, "1970-01-01T00:00:00Z")
+    assert warc.parse_record(data) == record
+    with pytest.raises(ValueError, match="damaged"):
+        warc.parse_record(data.replace(b"abc", b"abd"))
