@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from keyweave.llm._common import checkpointed
+from keyweave.llm._common import broadcast_if_small, checkpointed
 
 #: Bits of the hashed presence vector for n-grams of length 1, 2, 3.
 BITS = (10, 13, 14)
@@ -26,7 +26,6 @@ OFFSETS = np.cumsum([0, *(1 << b for b in BITS)])
 #: Bounds of the fit: rows per language, rows in all, landmarks in all. Scoring has none.
 ROWS_EACH, MOST_ROWS, LANDMARKS = 200, 2000, 256
 RIDGE = 1e-3
-SLICES = 32
 #: Texts in one matrix product.
 BATCH = 64
 #: From this score on a prediction contradicts a declared language.
@@ -131,12 +130,13 @@ def fit(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lan
     rows = df.where((remainder(key) != 2) & F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}"))
     rows = rows.select(F.col(lang).cast("string").alias("lang"), F.xxhash64(F.col(key).cast("string"), F.col(text)).alias("hash"), F.col(text).alias("text"))
     keys = checkpointed(rows.select("lang", "hash").distinct())
-    n_langs = keys.select("lang").distinct().count()
-    each = max(1, min(ROWS_EACH, MOST_ROWS // max(1, n_langs)))
-    # A hot language is ranked in slices first.
-    wanted = keys
-    for by in (["lang", F.pmod(F.col("hash"), F.lit(SLICES))], ["lang"]):
-        wanted = wanted.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy("hash"))).where(F.col("rank") <= each).drop("rank")
+    counts = checkpointed(keys.groupBy("lang").agg(F.count("*").alias("n")))
+    each = max(1, min(ROWS_EACH, MOST_ROWS // max(1, counts.count())))
+    # About four times as many as wanted have a hash low enough; only these are ranked, however many a language has.
+    low = F.pmod("hash", F.lit(1 << 30)) < F.lit(4.0 * each * (1 << 30)) / F.col("n")
+    near = keys.join(broadcast_if_small(counts, 60), "lang").where(low)
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.pmod("hash", F.lit(1 << 30)), "hash"))
+    wanted = near.withColumn("rank", rank).where(F.col("rank") <= each).select("lang", "hash")
     wanted = checkpointed(wanted)
 
     def pack(texts: pd.Series) -> pd.Series:
