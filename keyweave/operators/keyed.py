@@ -6,6 +6,7 @@ strategy, prunes columns down to the scans and splits skewed keys while running.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import pyarrow as pa
@@ -111,8 +112,17 @@ class KeyedTable:
         return self.insert(combine(keys, values))
 
     def keep(self) -> KeyedTable:
-        """Keeps the rows for further probes, in memory or on disk as the storage says."""
-        if self._rows is not None and self._kept is None:
+        """Keeps the rows for further probes: in memory, spilling to disk, or written as Parquet under the storage's path.
+
+        Written rows outlive the executors; their files are the caller's to remove.
+        """
+        if self._rows is None:
+            return self
+        if not self.storage.in_memory:
+            path = f"{self.storage.path.rstrip('/')}/rows-{uuid.uuid4().hex}"
+            self._rows.write.parquet(path)
+            self._rows, self._depth = self.spark.read.parquet(path), 1
+        elif self._kept is None:
             self._kept = self._rows.persist(self.storage.level)
         return self
 

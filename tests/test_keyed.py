@@ -142,8 +142,12 @@ def test_empty_table_and_strings(spark):
     assert [tuple(r) for r in table.lookup(batch(text, ("a",))).collect()] == [("a", [1, 2])]
 
 
-def test_storage_and_depth(spark):
-    table = made(spark, *DUPLICATES, storage_descriptor="file:///tmp/x?direct=true")
+def test_storage_and_depth(spark, tmp_path):
+    table = made(spark, *DUPLICATES, storage_descriptor=f"file://{tmp_path}/kept?direct=true")
+    assert table.keep().lookup(batch(KEY, (2,))).count() == 2
+    assert "rows-" in table.rows.inputFiles()[0]
+    assert table.insert(batch(BUILD_ROWS, (2, 9, 9))).lookup(batch(KEY, (2,))).count() == 3
+    table = made(spark, *DUPLICATES)
     assert table.keep().lookup(batch(KEY, (2,))).count() == 2
     table.release()
     with pytest.raises(RuntimeError, match="do not fit"):
