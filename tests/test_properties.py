@@ -1,0 +1,62 @@
+import struct
+
+import pyarrow as pa
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from keyweave import KeyedTable
+from keyweave.operators.batching import Accumulator, regrouped
+from keyweave.operators.sorting import sort_all_binary
+from keyweave.sources.arrow import row_width
+from keyweave.sources.datagen import Generator
+
+few = settings(max_examples=12, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+
+
+@settings(deadline=None)
+@given(st.lists(st.lists(st.none() | st.integers(-5, 5), max_size=30), max_size=12), st.integers(1, 17))
+def test_regrouping_keeps_rows_and_sizes(chunks, n):
+    batches = [pa.RecordBatch.from_pydict({"v": pa.array(c, pa.int32())}) for c in chunks]
+    made = list(regrouped(batches, n))
+    flat = [v for c in chunks for v in c]
+    assert [v for b in made for v in b.column(0).to_pylist()] == flat
+    assert [len(b) for b in made] == [n] * (len(flat) // n) + [len(flat) % n] * (len(flat) % n > 0)
+    got = []
+    out = Accumulator(pa.schema([("v", pa.int32())]), n, got.append)
+    for b in batches:
+        out.insert(b)
+    out.finish()
+    assert [b.to_pydict() for b in got] == [b.to_pydict() for b in made]
+
+
+@settings(deadline=None)
+@given(st.integers(1, 200), st.integers(0, 1000))
+def test_generated_widths_add_up(total, seed):
+    assert sum(w for _, w in Generator(seed).fields_of_total_width(total).fields) == total
+
+
+KEYS = st.lists(st.tuples(st.none() | st.integers(0, 3), st.none() | st.integers(0, 2), st.integers(0, 9)), max_size=12)
+
+
+@few
+@given(KEYS, KEYS, st.sampled_from(["keys", "hash"]), st.sampled_from(["match", "drop"]))
+def test_joins_against_nested_loops(spark, build, probe, match, null_keys):
+    keys, values = pa.schema([("k0", pa.int64()), ("k1", pa.int16())]), pa.schema([("b", pa.int32())])
+    probes = pa.schema([("p", pa.int32())])
+    batch = lambda rows, *s: pa.Table.from_pydict({f.name: pa.array([r[i] for r in rows], f.type) for i, f in enumerate(f for x in s for f in x)})
+    table = KeyedTable(keys, values, probes, spark=spark, match=match, null_keys=null_keys).insert(batch(build, keys, values))
+    n = 1 if match == "hash" else 2
+    same = lambda a, b: a[:n] == b[:n] and (null_keys == "match" or None not in a[:n])
+    want = sorted(((*b, p[2]) for p in probe for b in build if same(b, p)), key=str)
+    assert sorted((tuple(r) for r in table.inner_join(batch(probe, keys, probes)).collect()), key=str) == want
+    assert sorted((tuple(r) for r in table.lookup(batch([p[:2] for p in probe], keys)).collect()), key=str) == sorted((b for p in probe for b in build if same(b, p)), key=str)
+
+
+@few
+@given(st.lists(st.tuples(st.none() | st.integers(-(1 << 63), (1 << 63) - 1), st.none() | st.integers(-(1 << 15), (1 << 15) - 1)), min_size=1, max_size=30))
+def test_binary_sort_compares_row_bytes(spark, rows):
+    df = spark.createDataFrame(rows, "a long, b short")
+    raw = lambda r: struct.pack("<qh", r[0] or 0, r[1] or 0) + bytes([r[0] is not None, r[1] is not None])
+    assert [tuple(r) for r in sort_all_binary(df).collect()] == sorted(rows, key=raw)
+    assert row_width(df.schema) == 16 and df.select(F.count("*")).first()[0] == len(rows)
