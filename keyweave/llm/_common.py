@@ -6,6 +6,9 @@ import ctypes
 import gc
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from functools import wraps
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -63,3 +66,26 @@ def release_memory() -> None:
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
     if trim is not None:
         trim(0)
+
+
+def tidy(f: Callable) -> Callable:
+    """f, called once for each batch, with release_memory before it works: what the batch before left is not kept beside this one."""
+
+    @wraps(f)
+    def tidied(*batch):
+        release_memory()
+        return f(*batch)
+
+    return tidied
+
+
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
+    """What runs inside hands texts to Python in batches of so many rows; ten thousand whole texts are much for a worker and for the buffers that feed it."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)

@@ -12,9 +12,10 @@ Decoding joins ids with the token-byte table, which has one row per vocabulary e
 from __future__ import annotations
 
 import base64
+import hashlib
 import zlib
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -24,9 +25,9 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StringType, StructField, StructType
 
-from keyweave.llm._common import checkpointed, release_memory
+from keyweave.llm._common import checkpointed, release_memory, small_batches
 
 #: A block is closed after this many characters of text.
 BLOCK_CHARS = 32 << 20
@@ -177,10 +178,12 @@ def _splitter(pattern: str, parts: int):
     return split
 
 
-def encode(df: DataFrame, ranks: dict[bytes, int], pattern: str, key: str = "doc_id", text: str = "text", parts: int | None = None, decoded: bool = False) -> DataFrame:
+def encode(df: DataFrame, ranks: dict[bytes, int], pattern: str, key: str = "doc_id", text: str = "text", parts: int | None = None, decoded: bool = False, finish: Callable[[pa.Table], pa.Table] | None = None, finished: list[StructField] | None = None) -> DataFrame:
     """One row per row of df: doc_id, ids (array of int), as encoding each text's pre-tokens by ranks gives, without special tokens.
 
-    decoded adds what decode(...) gives for these ids, joined in the same task.
+    decoded adds what decode(...) gives for these ids, joined in the same task. finish, if given, takes
+    some rows doc_id, ids (and decoded) as an Arrow table and gives doc_id and the columns finished, so that
+    what is wanted of the ids, such as digests, leaves the task instead of them.
 
     parts: tasks that own the distinct words, by default the session's shuffle partitions; a task holds
     its share of the corpus's distinct words, a block's task the words and ids of BLOCK_CHARS of text.
@@ -195,7 +198,8 @@ def encode(df: DataFrame, ranks: dict[bytes, int], pattern: str, key: str = "doc
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = df.select(F.col(key).alias("doc_id"), F.col(text).cast("string").alias("text"))
     key_type = rows.schema["doc_id"].dataType
-    made = checkpointed(rows.mapInArrow(_splitter(pattern, parts), _split_schema(key_type)))
+    with small_batches(spark):
+        made = checkpointed(rows.mapInArrow(_splitter(pattern, parts), _split_schema(key_type)))
     shared = spark.sparkContext.broadcast(ranks)  # one entry per vocabulary entry
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -228,20 +232,21 @@ def encode(df: DataFrame, ranks: dict[bytes, int], pattern: str, key: str = "doc
             sizes, starts = np.zeros(len(number), np.int64), np.zeros(len(number), np.int64)
             sizes[number], starts[number] = count, np.cumsum(count) - count
         flat = np.concatenate([*ids, np.zeros(0, np.uint16)]).astype(np.int32)
-        keys, lists, back = [], [], []
+        made = []
+        key_kind = texts.schema.field("keys").type.value_type
         table = TokenBytes(shared.value) if decoded else None
-        for row in sorted(texts.to_pylist(), key=lambda r: r["place"]):
+        for i in np.argsort(texts.column("place").to_numpy(), kind="stable"):
+            row = texts.slice(i, 1).to_pylist()[0]
             per_text, at = unpack(row["sizes"]).astype(np.int64), unpack(row["payload"])
             places, taken = gather(starts, sizes, at) if len(at) else (at.astype(np.int64), at)
             upto = np.r_[0, np.cumsum(taken)][np.r_[0, np.cumsum(per_text)]]
-            lists.append(pa.ListArray.from_arrays(pa.array(upto.astype(np.int32)), pa.array(flat[places])))
-            if table:
-                back.append(table.join(flat[places], upto))
-            keys += row["keys"]
-        columns = {"doc_id": pa.array(keys, texts.schema.field("keys").type.value_type), "ids": pa.chunked_array(lists, pa.list_(pa.int32()))}
-        return pa.table(columns | ({"decoded": pa.chunked_array(back, pa.binary())} if decoded else {}))
-
-    schema = StructType([StructField("doc_id", key_type), StructField("ids", ArrayType(IntegerType())), *([StructField("decoded", BinaryType())] if decoded else [])])
+            columns = {"doc_id": pa.array(row["keys"], key_kind), "ids": pa.ListArray.from_arrays(pa.array(upto.astype(np.int32)), pa.array(flat[places]))}
+            some = pa.table(columns | ({"decoded": table.join(flat[places], upto)} if table else {}))
+            made.append(finish(some) if finish else some)
+        return pa.concat_tables(made)
+
+    columns = [StructField("ids", ArrayType(IntegerType())), *([StructField("decoded", BinaryType())] if decoded else [])]
+    schema = StructType([StructField("doc_id", key_type), *(finished if finish else columns)])
     return texts.groupBy("block").cogroup(merged.groupBy("block")).applyInArrow(reassemble, schema)
 
 
@@ -269,8 +274,16 @@ def decode(df: DataFrame, ranks: dict[bytes, int], ids: str = "ids", decoded: st
     return df.mapInArrow(join, StructType([*fields, StructField(decoded, BinaryType())]))
 
 
-def digests(df: DataFrame) -> DataFrame:
+#: What digest gives beside doc_id.
+DIGESTS = [StructField("n_tokens", LongType()), StructField("ids_sha256", StringType()), StructField("decoded_sha256", StringType())]
+
+
+def digest(rows: pa.Table) -> pa.Table:
     """doc_id, n_tokens, ids_sha256 (of the decimal ids joined by commas), decoded_sha256 from doc_id, ids, decoded."""
-    return df.select(
-        "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join("ids", ",").cast("binary"), 256).alias("ids_sha256"), F.sha2(F.col("decoded"), 256).alias("decoded_sha256")
-    )
+    counts, of_ids, of_bytes = [], [], []
+    for ids, decoded in zip(rows.column("ids"), rows.column("decoded")):
+        numbers = ids.values.to_numpy()
+        counts.append(len(numbers))
+        of_ids.append(hashlib.sha256(",".join(map(str, numbers.tolist())).encode()).hexdigest())
+        of_bytes.append(hashlib.sha256(decoded.as_buffer()).hexdigest())
+    return pa.table([rows.column("doc_id"), pa.array(counts, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_bytes, pa.string())], names=["doc_id", *[f.name for f in DIGESTS]])

@@ -41,7 +41,7 @@ def byte_bpe_digests(documents: DataFrame, vocabulary: str = "byte_bpe_multi_50k
     import public_tokenizers
 
     ranks = byte_bpe.read_ranks(public_tokenizers.path(vocabulary))
-    return byte_bpe.digests(byte_bpe.encode(documents, ranks, public_tokenizers.PATTERN, decoded=True))
+    return byte_bpe.encode(documents, ranks, public_tokenizers.PATTERN, decoded=True, finish=byte_bpe.digest, finished=byte_bpe.DIGESTS)
 
 
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
