@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from keyweave.llm._common import broadcast_if_small, checkpointed
+from keyweave.llm._common import broadcast_if_small, checkpointed, tidy
 
 #: Bits of the hashed presence vector for n-grams of length 1, 2, 3.
 BITS = (10, 13, 14)
@@ -162,7 +162,8 @@ def _predict(df: DataFrame, text: str, model: Model) -> Column:
         names, scores = shared.value.score([t if isinstance(t, str) else None for t in texts])
         return pd.DataFrame({"lang_pred": names, "score": scores})
 
-    return F.pandas_udf(predict, "lang_pred string, score double")(F.col(text))
+    # Not marked as deterministic, or a filter on the prediction would have it computed once more for itself.
+    return F.pandas_udf(tidy(predict), "lang_pred string, score double").asNondeterministic()(F.col(text))
 
 
 def identify(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:

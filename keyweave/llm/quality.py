@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from keyweave.llm._common import broadcast_if_small, checkpointed
+from keyweave.llm._common import broadcast_if_small, checkpointed, small_batches, tidy
 
 SPACES = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
@@ -121,7 +121,8 @@ def _judged(counted: DataFrame, limits: DataFrame) -> DataFrame:
 
 def _counted(df: DataFrame, carry: dict[str, Column], text: str, lang: str, source: str) -> DataFrame:
     """carry, lang, source and the counts of COUNTS."""
-    counts = F.pandas_udf(_count, COUNTS)(F.col(text)).alias("counts")
+    # Not marked as deterministic, or a filter on the counts would have them computed once more for itself.
+    counts = F.pandas_udf(tidy(_count), COUNTS).asNondeterministic()(F.col(text)).alias("counts")
     kept = [c.alias(name) for name, c in carry.items()]
     return df.select(*kept, F.col(lang).cast("string").alias("lang"), F.col(source).cast("string").alias("source"), counts).select(*carry, "lang", "source", "counts.*")
 
@@ -137,7 +138,8 @@ def judge_quality(df: DataFrame, key: str = "doc_id", text: str = "text", lang:
     Long texts are counted whole. Equal rows get equal verdicts, each its row; an empty table gives
     an empty result. Columns beyond the four named are not looked at.
     """
-    counted = checkpointed(_counted(df, {"doc_id": F.col(key)}, text, lang, source))
+    with small_batches(df.sparkSession):
+        counted = checkpointed(_counted(df, {"doc_id": F.col(key)}, text, lang, source))
     limits = broadcast_if_small(checkpointed(fences(counted)), 200)
     return _judged(counted, limits).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_lines")
 
@@ -147,6 +149,7 @@ def keep_quality(df: DataFrame, text: str = "text", lang: str = "lang", source:
 
     Texts are counted twice, once for the sketches and once beside the fences, so no text is shuffled.
     """
-    limits = broadcast_if_small(checkpointed(fences(_counted(df, {}, text, lang, source))), 200)
+    with small_batches(df.sparkSession):
+        limits = broadcast_if_small(checkpointed(fences(_counted(df, {}, text, lang, source))), 200)
     rows = _counted(df, {"row": F.struct(*df.columns)}, text, lang, source)
     return _judged(rows, limits).where("kept").select("row.*")
