@@ -2,8 +2,9 @@
 
 By radius (near_duplicates):
 
-Fingerprints that differ in at most 3 of 64 bits agree in one of four 16-bit bands. So distinct
-fingerprints are dealt out by (band, its 16 bits), and each such shard has a BK-tree of its own;
+Fingerprints that differ in at most 3 of 64 bits agree in one of four 16-bit bands, or in two of five
+bands, three of six and so on. So distinct fingerprints are dealt out by (bands, their bits), longer ones
+the more fingerprints there are, and each such shard has a BK-tree of its own;
 the sum of all trees grows with the corpus, so a tree goes to the queries of its shard, never to
 all executors. Shards above TREE fingerprints are cut into blocks; each pair of blocks is a task
 of its own, to which the tree of one block and the queries of the other are sent. Links leave a
@@ -18,7 +19,7 @@ a signature of 128 minima thins out what it finds, and the texts themselves deci
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, combinations
 
 import numpy as np
 import pandas as pd
@@ -27,11 +28,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keyweave.llm._common import broadcast_if_small, checkpointed
+from keyweave.llm._common import broadcast_if_small, checkpointed, small_batches, tidy
 from keyweave.llm.graph import components
 
 #: The most fingerprints in one tree.
 TREE = 2048
+#: Numbers that should share a shard by chance.
+FEW = 64
 RADIUS = 3
 
 
@@ -53,7 +56,7 @@ def _fingerprints(texts: pd.Series) -> pd.Series:
 
 def fingerprints_of(text: str):
     """Column of fingerprints as signed longs."""
-    return F.pandas_udf(_fingerprints, "long")(F.col(text))
+    return F.pandas_udf(tidy(_fingerprints), "long")(F.col(text))
 
 
 class BKTree:
@@ -174,27 +177,43 @@ def _search(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.Recor
     return _link_batches(links())
 
 
-def _tasks(rows: DataFrame, shard: list[str], item: str, tree: int) -> DataFrame:
-    """task, in_tree, same, item: shards above tree rows are cut into blocks, and each block meets each once; the lower one is the tree."""
+def _many(df: DataFrame) -> int:
+    """The session's shuffle partitions; said outright, as few bytes mean much work here."""
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def _tasks(rows: DataFrame, shard: list[str], item: str, tree: int, block_by: str) -> DataFrame:
+    """task, in_tree, same, item: shards above tree rows are cut into blocks by hash, and each block meets each once; the lower one is the tree."""
     large = checkpointed(rows.groupBy(*shard).agg(F.count("*").alias("n")).where(F.col("n") > tree))
     rows = rows.join(broadcast_if_small(large, 40), shard, "left")
     rows = rows.withColumn("blocks", F.coalesce(F.ceil(F.col("n") / tree), F.lit(1)))
-    rows = rows.withColumn("own", F.pmod(F.xxhash64(item), F.col("blocks"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    rows = rows.withColumn("own", F.pmod(F.xxhash64(block_by), F.col("blocks"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     low, high = F.least("own", "other"), F.greatest("own", "other")
     return rows.select(F.xxhash64(*shard, low, high).alias("task"), (F.col("own") == low).alias("in_tree"), (low == high).alias("same"), item)
 
 
+def band_masks(n: int, radius: int) -> list[int]:
+    """Masks over 64 bits, on one of which at least two numbers within the radius agree.
+
+    The bits are cut into pieces, more than the radius, and a mask is all but radius of the pieces. More
+    pieces make longer and more masks; as few are taken as leave FEW of n numbers on a mask's value.
+    """
+    for pieces in range(radius + 1, 2 * radius + 3):
+        if n >> (64 * (pieces - radius) // pieces) <= FEW:
+            break
+    cuts = [64 * i // pieces for i in range(pieces + 1)]
+    return [sum((1 << cuts[i + 1]) - (1 << cuts[i]) for i in chosen) for chosen in combinations(range(pieces), pieces - radius)]
+
+
 def link_fingerprints(values: DataFrame, radius: int = RADIUS, tree: int = TREE) -> DataFrame:
     """Links a, b that connect all numbers of values (one long column fp, distinct) at radius or fewer differing bits.
 
-    The links are a forest per task, not all pairs. radius + 1 bands cover every pair exactly.
+    The links are a forest per task, not all pairs. Every pair within the radius agrees on one of the band
+    masks at least. values are counted, so they should be materialised.
     """
-    bands = radius + 1
-    bits = 64 // bands
-    masks = [((1 << bits) - 1 if b < bands - 1 else (1 << (64 - bits * b)) - 1) for b in range(bands)]
-    part = F.array(*[F.shiftrightunsigned("fp", bits * b).bitwiseAND(F.lit(m - (1 << 64) if m >= 1 << 63 else m)) for b, m in enumerate(masks)])
+    part = F.array(*[F.col("fp").bitwiseAND(F.lit(m - (1 << 64) if m >= 1 << 63 else m)) for m in band_masks(values.count(), radius)])
     rows = values.select("fp", F.posexplode(part).alias("band", "part"))
-    tasks = _tasks(rows, ["band", "part"], "fp", tree).repartition("task").sortWithinPartitions("task", "fp")
+    tasks = _tasks(rows, ["band", "part"], "fp", tree, "fp").repartition(_many(values), "task").sortWithinPartitions("task", "fp")
     return tasks.mapInArrow(lambda batches: _search(batches, radius), "a long, b long")
 
 
@@ -207,7 +226,8 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", radi
     component_id, which is null only if all keys of the component are. Repeated rows keep a row each;
     an empty table gives an empty result; other columns are not looked at.
     """
-    rows = checkpointed(df.select(F.col(key).alias("doc_id"), fingerprints_of(text).alias("fp")))
+    with small_batches(df.sparkSession):
+        rows = checkpointed(df.select(F.col(key).alias("doc_id"), fingerprints_of(text).alias("fp")))
     return _grouped_by_radius(rows, radius).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
@@ -275,14 +295,14 @@ def _signatures(words_each: int):
     def signatures(texts: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([signature(t, words_each) for t in texts], columns=["fp", "keys", "minima"])
 
-    return F.pandas_udf(signatures, "fp long, keys array<long>, minima binary")
+    return F.pandas_udf(tidy(signatures), "fp long, keys array<long>, minima binary").asNondeterministic()
 
 
 def _search_similar(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
-    """Links worth trying, of rows (task, in_tree, same, node, fp, minima)."""
+    """Links worth trying, of rows (task, in_tree, same, node, fp, minima, hash); which ones depends on the texts only, by their hashes."""
 
     def links() -> Iterator[list[tuple[int, int]]]:
-        for _, in_tree, same, node, fp, minima in _runs(batches):
+        for _, in_tree, same, node, fp, minima, hashes in _runs(batches):
             values = fp.astype(np.uint64).tolist()
             bytes_of = np.frombuffer(b"".join(minima), np.uint8).reshape(len(node), -1)
             tree, places, found = BKTree(), [], []
@@ -292,33 +312,34 @@ def _search_similar(batches: Iterator[pa.RecordBatch], similarity: float) -> Ite
                     near = np.array([places[at] for at in tree.within(values[i], SIMILAR_RADIUS)], np.int64)
                     if len(near):
                         alike = (bytes_of[near] == bytes_of[i]).mean(axis=1)
-                        found += [(-s, int(node[i]), int(node[j])) for s, j in zip(alike, near) if s >= similarity - SLACK]
+                        found += [(-s, *sorted(((hashes[i], int(node[i])), (hashes[j], int(node[j]))))) for s, j in zip(alike, near) if s >= similarity - SLACK]
                 if same[0] or in_tree[i]:
                     tree.add(values[i])
                     places.append(i)
             if len(values) > ALL_LINKS:
                 sets = _Sets()
                 found = [f for f in sorted(found) if sets.join(f[1], f[2])]
-            yield [(min(a, b), max(a, b)) for _, a, b in found]
+            yield [(min(a, b), max(a, b)) for _, (_, a), (_, b) in found]
 
     return _link_batches(links())
 
 
 def link_similar(nodes: DataFrame, similarity: float, tree: int | None = None) -> DataFrame:
-    """Links a, b to be tried between nodes (node, fp, keys, minima)."""
-    rows = nodes.select("node", F.explode(F.array_distinct("keys")).alias("shard"))
+    """Links a, b to be tried between nodes (node, hash, fp, keys, minima)."""
+    rows = nodes.select("node", "hash", F.explode(F.array_distinct("keys")).alias("shard"))
     shared = checkpointed(rows.groupBy("shard").agg(F.count("*").alias("_kw_n")).where("_kw_n > 1").select("shard"))
     rows = checkpointed(rows.join(shared, "shard"))
-    tasks = _tasks(rows, ["shard"], "node", tree or SIMILAR_TREE)
-    tasks = tasks.join(nodes.select("node", "fp", "minima"), "node").select("task", "in_tree", "same", "node", "fp", "minima")
-    tasks = tasks.repartition("task").sortWithinPartitions("task", "node")
+    tasks = _tasks(rows, ["shard"], "node", tree or SIMILAR_TREE, "hash")
+    tasks = tasks.join(nodes.select("node", "fp", "minima", "hash"), "node").select("task", "in_tree", "same", "node", "fp", "minima", "hash")
+    tasks = tasks.repartition(_many(nodes), "task").sortWithinPartitions("task", "node")
     return tasks.mapInArrow(lambda batches: _search_similar(batches, similarity), "a long, b long").distinct()
 
 
 def _grouped_by_similarity(df: DataFrame, key: str, text: str, words_each: int, similarity: float) -> DataFrame:
     """doc_id, hash (of the text), component_id and group of each row of df."""
     made = df.select(F.col(key).alias("doc_id"), F.xxhash64(F.col(text)).alias("hash"), _signatures(words_each)(F.col(text)).alias("s"))
-    rows = checkpointed(made.select("doc_id", "hash", "s.*"))
+    with small_batches(df.sparkSession):
+        rows = checkpointed(made.select("doc_id", "hash", "s.*"))
     nodes = rows.groupBy("hash", "fp", "keys", "minima").agg(F.min("doc_id").alias("least"))
     nodes = checkpointed(nodes.withColumn("node", F.monotonically_increasing_id()))
     tried = checkpointed(link_similar(nodes, similarity))
@@ -330,7 +351,8 @@ def _grouped_by_similarity(df: DataFrame, key: str, text: str, words_each: int,
     texts = checkpointed(texts)
     left, right = texts.toDF("a", "left"), texts.toDF("b", "right")
     exact = F.pandas_udf(lambda a, b: pd.Series([jaccard(x, y, words_each) for x, y in zip(a, b)], dtype="float64"), "double")
-    links = tried.join(left, "a").join(right, "b").where(exact("left", "right") >= similarity).select("a", "b")
+    with small_batches(df.sparkSession):
+        links = checkpointed(tried.join(left, "a").join(right, "b").where(exact("left", "right") >= similarity).select("a", "b"))
     named = checkpointed(_named(nodes.select("node", "hash", "fp", "least"), "node", links).select(F.col("hash").alias("_kw_hash"), F.col("fp").alias("_kw_fp"), "component_id", "group"))
     return rows.select("doc_id", "hash", "fp").join(named, (F.col("hash") == F.col("_kw_hash")) & (F.col("fp") == F.col("_kw_fp"))).select("doc_id", "hash", "component_id", "group")
 

@@ -54,8 +54,19 @@ def test_odd_rows(spark, odd, no_documents):
     assert fingerprint("word " * 200_000) == fingerprint("word word word")
 
 
-@pytest.mark.parametrize("tree", [2048, 3])
-def test_links_connect_like_all_pairs(spark, tree):
+@pytest.mark.parametrize("n", [10, 10**7, 10**10])
+def test_masks_cover_all_pairs(n):
+    masks, rng = simhash.band_masks(n, 3), np.random.default_rng(2)
+    for _ in range(500):
+        a = int(rng.integers(0, 1 << 63)) * 2
+        b = a ^ sum(1 << int(bit) for bit in rng.choice(64, 3, replace=False))
+        assert any((a ^ b) & m == 0 for m in masks)
+    assert len(masks) == {10: 4, 10**7: 10, 10**10: 20}[n]
+
+
+@pytest.mark.parametrize(("tree", "few"), [(2048, 64), (3, 64), (2048, 0)])
+def test_links_connect_like_all_pairs(spark, tree, few, monkeypatch):
+    monkeypatch.setattr(simhash, "FEW", few)
     rng = np.random.default_rng(5)
     values = {0, (1 << 64) - 1}
     for _ in range(40):  # chains in which each step flips up to four bits
