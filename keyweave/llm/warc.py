@@ -36,6 +36,8 @@ from keyweave.llm._common import ascii_lower, broadcast_if_small, checkpointed,
 LINES = 512
 #: A task starts another archive file beyond this size.
 FILE_BYTES = 1 << 30
+#: Compressed bytes that a task reads back.
+READ_BYTES = 64 << 20
 NO_ID = -(1 << 63)
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -243,18 +245,19 @@ class _Reader:
 RECORD = "page_id long, url string, record_type string, refers_to long, payload binary, payload_bytes long, payload_digest string"
 
 
-def lookup(requests: DataFrame, archive: str, index: str, files: DataFrame) -> DataFrame:
+def lookup(requests: DataFrame, archive: str, index: str, files: DataFrame, tasks: int | None = None) -> DataFrame:
     """Records of RECORD for the requested captures: requests has url_key and, if one capture is meant, page_id.
 
     Without the column page_id all captures of the key come; a null page_id means the capture that
     has none. Equal requests are asked once. Requests are sorted as the index is, so a task reads few
-    blocks. The list of index files, a row per task that wrote the index, goes to every task.
+    blocks. The list of index files, a row per task that wrote the index, goes to every task. tasks says
+    how many share the reading, whose bytes the planner doesn't see; by default it decides itself.
     """
     known = sorted(((f.file, f.first_key, f.first_id) for f in files.collect()), key=lambda f: _order(*f[1:]))
     one = "page_id" in requests.columns
     number = F.coalesce(F.col("page_id").cast("long"), F.lit(NO_ID)) if one else F.lit(NO_ID)
     asked = requests.select(F.coalesce("url_key", F.lit("")).alias("url_key"), number.alias("id")).distinct()
-    asked = asked.repartitionByRange("url_key", "id").sortWithinPartitions("url_key", "id")
+    asked = asked.repartitionByRange(*([tasks] if tasks else []), "url_key", "id").sortWithinPartitions("url_key", "id")
     shared = requests.sparkSession.sparkContext.broadcast(known)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -282,4 +285,6 @@ def archive_and_read(df: DataFrame, key: str = "page_id", url: str = "url", payl
     folder = shared_path(df.sparkSession, "warc")
     captures = write_archive(df, f"{folder}/archive", key, url, payload, min_bytes)
     files = write_index(captures, f"{folder}/index")
-    return lookup(captures.select("url_key", "page_id"), f"{folder}/archive", f"{folder}/index", files)
+    size = captures.agg(F.coalesce(F.sum("length"), F.lit(0)).alias("bytes")).first().bytes
+    tasks = max(df.sparkSession.sparkContext.defaultParallelism, -(-size // READ_BYTES))
+    return lookup(captures.select("url_key", "page_id"), f"{folder}/archive", f"{folder}/index", files, tasks)
