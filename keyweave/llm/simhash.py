@@ -13,7 +13,8 @@ task as a spanning forest, at most one per fingerprint, which keeps all that con
 By similarity (similar_texts): texts whose sets of word shingles have a Jaccard similarity of 0.8
 differ in some 10 bits, too many for bands. There the shards are made of texts that share two
 minima of their shingles' hashes, in any of TABLES pairs; each shard's tree is asked with SIMILAR_RADIUS,
-a signature of 128 minima thins out what it finds, and the texts themselves decide.
+a signature of 128 minima thins out what it finds, and the texts themselves decide. Tasks of many texts
+get the sets of shingles too and decide at once, so that their links leave as a spanning forest.
 """
 
 from __future__ import annotations
@@ -253,7 +254,7 @@ def _grouped_by_radius(rows: DataFrame, radius: int) -> DataFrame:
 MINIMA, TABLES, SIMILAR_RADIUS = 128, 8, 20
 #: How far the signature's estimate may lie below the similarity: three standard deviations and more.
 SLACK = 0.12
-#: Up to so many texts in a task all their links are tried, beyond it a spanning forest of the likeliest.
+#: Up to so many texts in a task all likely links leave it to be tried; beyond it all pairs are compared there, and a spanning forest of the similar ones leaves.
 ALL_LINKS, SIMILAR_TREE = 64, 512
 
 _RANDOM = np.random.default_rng(42)
@@ -298,11 +299,49 @@ def _signatures(words_each: int):
     return F.pandas_udf(tidy(signatures), "fp long, keys array<long>, minima binary").asNondeterministic()
 
 
+def _shingle_bytes(words_each: int):
+    def shingle_bytes(texts: pd.Series) -> pd.Series:
+        return pd.Series([shingle_hashes(t, words_each).tobytes() for t in texts], dtype="object")
+
+    return F.pandas_udf(tidy(shingle_bytes), "binary").asNondeterministic()
+
+
+def _similar_forest(shingles: list[np.ndarray], in_tree: np.ndarray, same: bool, similarity: float) -> list[tuple[int, int]]:
+    """Places of sets that are similar; the links connect what all similar pairs connect. same: pairs of any two sets; else of one in the tree and one not."""
+    sizes = np.array([len(x) for x in shingles])
+    ends = np.cumsum(sizes)
+    starts = ends - sizes
+    known, flat = np.unique(np.concatenate(shingles), return_inverse=True)
+    marked, label, links = np.zeros(len(known), np.uint8), np.arange(len(sizes)), []
+    for i in range(len(sizes)) if same else np.flatnonzero(~in_tree):
+        others = label != label[i]
+        if same:
+            others[i:] = False
+        else:
+            others &= in_tree
+        others &= np.minimum(sizes, sizes[i]) / np.maximum(sizes, sizes[i]) >= similarity
+        if not others.any():
+            continue
+        own = flat[starts[i] : ends[i]]
+        marked[own] = 1
+        both = np.add.reduceat(marked[flat], starts, dtype=np.int64)
+        marked[own] = 0
+        for j in np.flatnonzero(others & (both / (sizes + sizes[i] - both) >= similarity)):
+            if label[j] != label[i]:
+                label[label == label[j]] = label[i]
+                links.append((int(i), int(j)))
+    return links
+
+
 def _search_similar(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
-    """Links worth trying, of rows (task, in_tree, same, node, fp, minima, hash); which ones depends on the texts only, by their hashes."""
+    """Links worth trying, of rows (task, in_tree, same, node, fp, minima, shingles); where these have shingles, similar ones only."""
 
     def links() -> Iterator[list[tuple[int, int]]]:
-        for _, in_tree, same, node, fp, minima, hashes in _runs(batches):
+        for _, in_tree, same, node, fp, minima, shingles in _runs(batches):
+            if shingles[0] is not None:
+                found = _similar_forest([np.frombuffer(x, np.uint64) for x in shingles], in_tree.astype(bool), bool(same[0]), similarity)
+                yield [(int(min(node[i], node[j])), int(max(node[i], node[j]))) for i, j in found]
+                continue
             values = fp.astype(np.uint64).tolist()
             bytes_of = np.frombuffer(b"".join(minima), np.uint8).reshape(len(node), -1)
             tree, places, found = BKTree(), [], []
@@ -312,25 +351,37 @@ def _search_similar(batches: Iterator[pa.RecordBatch], similarity: float) -> Ite
                     near = np.array([places[at] for at in tree.within(values[i], SIMILAR_RADIUS)], np.int64)
                     if len(near):
                         alike = (bytes_of[near] == bytes_of[i]).mean(axis=1)
-                        found += [(-s, *sorted(((hashes[i], int(node[i])), (hashes[j], int(node[j]))))) for s, j in zip(alike, near) if s >= similarity - SLACK]
+                        found += [(int(min(node[i], node[j])), int(max(node[i], node[j]))) for s, j in zip(alike, near) if s >= similarity - SLACK]
                 if same[0] or in_tree[i]:
                     tree.add(values[i])
                     places.append(i)
-            if len(values) > ALL_LINKS:
-                sets = _Sets()
-                found = [f for f in sorted(found) if sets.join(f[1], f[2])]
-            yield [(min(a, b), max(a, b)) for _, (_, a), (_, b) in found]
+            yield found
 
     return _link_batches(links())
 
 
-def link_similar(nodes: DataFrame, similarity: float, tree: int | None = None) -> DataFrame:
-    """Links a, b to be tried between nodes (node, hash, fp, keys, minima)."""
+def _texts_of(df: DataFrame, text: str, some: DataFrame) -> DataFrame:
+    """node and text for each of some (node, hash), checkpointed; other texts are not moved."""
+    some = checkpointed(some.select("node", F.col("hash").alias("_kw_hash")))
+    texts = df.select(F.xxhash64(F.col(text)).alias("hash"), F.col(text).cast("string").alias("text"))
+    texts = texts.join(broadcast_if_small(some, 24), F.col("hash") == F.col("_kw_hash")).groupBy("node").agg(F.first("text").alias("text"))
+    return checkpointed(texts)
+
+
+def link_similar(nodes: DataFrame, df: DataFrame, text: str, words_each: int, similarity: float, tree: int | None = None) -> DataFrame:
+    """Links a, b to be tried between nodes (node, hash, fp, keys, minima), whose texts are in df."""
     rows = nodes.select("node", "hash", F.explode(F.array_distinct("keys")).alias("shard"))
     shared = checkpointed(rows.groupBy("shard").agg(F.count("*").alias("_kw_n")).where("_kw_n > 1").select("shard"))
     rows = checkpointed(rows.join(shared, "shard"))
-    tasks = _tasks(rows, ["shard"], "node", tree or SIMILAR_TREE, "hash")
-    tasks = tasks.join(nodes.select("node", "fp", "minima", "hash"), "node").select("task", "in_tree", "same", "node", "fp", "minima", "hash")
+    tasks = checkpointed(_tasks(rows, ["shard"], "node", tree or SIMILAR_TREE, "hash"))
+    large = checkpointed(tasks.groupBy("task").agg(F.count("*").alias("n")).where(F.col("n") > ALL_LINKS).select("task"))
+    tasks = tasks.join(broadcast_if_small(large.withColumn("large", F.lit(True)), 24), "task", "left")
+    several = tasks.where("large").select("node").distinct().join(nodes.select("node", "hash"), "node")
+    sets = checkpointed(_texts_of(df, text, several).select("node", _shingle_bytes(words_each)("text").alias("shingles")))
+    tasks = tasks.join(nodes.select("node", "fp", "minima"), "node")
+    columns = ["task", "in_tree", "same", "node", "fp", "minima", "shingles"]
+    small = tasks.where("large is null").withColumn("shingles", F.lit(None).cast("binary")).select(*columns)
+    tasks = small.unionByName(tasks.where("large").join(sets, "node").select(*columns))
     tasks = tasks.repartition(_many(nodes), "task").sortWithinPartitions("task", "node")
     return tasks.mapInArrow(lambda batches: _search_similar(batches, similarity), "a long, b long").distinct()
 
@@ -342,13 +393,11 @@ def _grouped_by_similarity(df: DataFrame, key: str, text: str, words_each: int,
         rows = checkpointed(made.select("doc_id", "hash", "s.*"))
     nodes = rows.groupBy("hash", "fp", "keys", "minima").agg(F.min("doc_id").alias("least"))
     nodes = checkpointed(nodes.withColumn("node", F.monotonically_increasing_id()))
-    tried = checkpointed(link_similar(nodes, similarity))
+    with small_batches(df.sparkSession):
+        tried = checkpointed(link_similar(nodes, df, text, words_each, similarity))
     # The texts of linked nodes, one of each; other texts are not moved.
     ends = tried.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    ends = checkpointed(ends.join(nodes, "node").select("node", F.col("hash").alias("_kw_hash")))
-    texts = df.select(F.xxhash64(F.col(text)).alias("hash"), F.col(text).cast("string").alias("text"))
-    texts = texts.join(broadcast_if_small(ends, 24), F.col("hash") == F.col("_kw_hash")).groupBy("node").agg(F.first("text").alias("text"))
-    texts = checkpointed(texts)
+    texts = _texts_of(df, text, ends.join(nodes, "node"))
     left, right = texts.toDF("a", "left"), texts.toDF("b", "right")
     exact = F.pandas_udf(lambda a, b: pd.Series([jaccard(x, y, words_each) for x, y in zip(a, b)], dtype="float64"), "double")
     with small_batches(df.sparkSession):
@@ -362,8 +411,8 @@ def similar_texts(df: DataFrame, key: str = "doc_id", text: str = "text", words_
 
     Texts are linked if the sets of their shingles of words_each words have a Jaccard similarity of at
     least similarity; component_id is the least doc_id reached. No pair below the similarity is linked. A
-    pair at 0.8 shares a shard with a probability of 0.9997, a closer one with more; if over ALL_LINKS
-    texts of a shard are alike, only a spanning forest of the likeliest links is tried.
+    pair at 0.8 shares a shard with a probability of 0.9997, a closer one with more; in tasks of over
+    ALL_LINKS texts all pairs are compared exactly, and a spanning forest of the similar ones is kept.
 
     Null, empty and blank texts are alike; a text of fewer words is one shingle. Long texts are read whole.
     Null keys are passed over for component_id. Repeated rows keep a row each; an empty table gives an

@@ -167,6 +167,36 @@ def test_similar_texts_against_all_pairs(spark, document_rows, tree, monkeypatch
     assert 12 < len({c for _, c in want}) - len({r.text for r in document_rows}) < 300
 
 
+@pytest.mark.parametrize("tree", [simhash.SIMILAR_TREE, 100])
+def test_links_among_many_siblings(spark, tree, monkeypatch):
+    """Copies that are similar to their base, not to each other: estimates of some siblings top the true link."""
+    monkeypatch.setattr(simhash, "SIMILAR_TREE", tree)
+    rng, base = np.random.default_rng(11), [f"w{j}" for j in range(200)]
+    rows = [(0, " ".join(base), "en", "a", 1)]
+    for i in range(1, 500):
+        words = list(base)
+        for at in rng.choice(39, 4, replace=False) * 5 + 4:
+            words[at] = f"new{i}y{at}"
+        rows.append((i, " ".join(words), "en", "a", 1))
+    made = similar_texts(spark.createDataFrame(rows, DOCUMENT).repartition(3))
+    got, want = sorted((tuple(r) for r in made.collect()), key=str), plain_similar(rows)
+    assert {c for _, c in want} == {0}
+    assert [a for a, b in zip(got, want) if a != b] == []
+
+
+def test_forest_connects_what_all_similar_pairs_connect():
+    rng = np.random.default_rng(4)
+    sets = [np.unique(rng.integers(0, 40, rng.integers(1, 40)).astype(np.uint64)) for _ in range(150)]
+    in_tree = rng.random(150) < 0.5
+    for same in (True, False):
+        similar = {(i, j) for i in range(150) for j in range(i) if (same or in_tree[i] != in_tree[j]) and len(np.intersect1d(sets[i], sets[j])) / len(np.union1d(sets[i], sets[j])) >= 0.6}
+        links = simhash._similar_forest(sets, in_tree, same, 0.6)
+        assert {(max(x), min(x)) for x in links} <= similar
+        joined, all_joined = simhash._Sets(), simhash._Sets()
+        assert all(joined.join(*x) for x in links)
+        assert sum(all_joined.join(*x) for x in similar) == len(links) > 0
+
+
 def test_similarity_is_exact():
     assert jaccard(None, " ", 5) == jaccard("a b c d e f", "A B  C\nd e f", 5) == 1.0
     assert jaccard("a b c d e f", "a b c d e g", 5) == 1 / 3 and jaccard("a b", "a c", 5) == 0.0
