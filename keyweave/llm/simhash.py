@@ -250,10 +250,11 @@ def _grouped_by_radius(rows: DataFrame, radius: int) -> DataFrame:
     return rows.join(named, rows["fp"] == named["_kw_fp"]).drop("_kw_fp")
 
 
-#: Minima in a signature, pairs of them that make shards, and bits within which trees look.
-MINIMA, TABLES, SIMILAR_RADIUS = 128, 8, 20
-#: How far the signature's estimate may lie below the similarity: three standard deviations and more.
-SLACK = 0.12
+#: Minima in a signature, pairs of them that make shards, and bits within which trees look. Of pairs at a similarity
+#: of 0.8, 8e-8 share no shard and at most 4e-9 differ in more bits.
+MINIMA, TABLES, SIMILAR_RADIUS = 128, 16, 32
+#: How far the signature's estimate may lie below the similarity: six standard deviations, beyond which 8e-9 of pairs at 0.8 are.
+SLACK = 0.22
 #: Up to so many texts in a task all likely links leave it to be tried; beyond it all pairs are compared there, and a spanning forest of the similar ones leaves.
 ALL_LINKS, SIMILAR_TREE = 64, 512
 
@@ -411,8 +412,9 @@ def similar_texts(df: DataFrame, key: str = "doc_id", text: str = "text", words_
 
     Texts are linked if the sets of their shingles of words_each words have a Jaccard similarity of at
     least similarity; component_id is the least doc_id reached. No pair below the similarity is linked. A
-    pair at 0.8 shares a shard with a probability of 0.9997, a closer one with more; in tasks of over
-    ALL_LINKS texts all pairs are compared exactly, and a spanning forest of the similar ones is kept.
+    pair at 0.8 is missed by shard, radius or estimate with a probability of 1e-7 in all, a closer one
+    with less; in tasks of over ALL_LINKS texts all pairs are compared exactly, and a spanning forest of
+    the similar ones is kept.
 
     Null, empty and blank texts are alike; a text of fewer words is one shingle. Long texts are read whole.
     Null keys are passed over for component_id. Repeated rows keep a row each; an empty table gives an

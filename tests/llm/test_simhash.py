@@ -184,6 +184,18 @@ def test_links_among_many_siblings(spark, tree, monkeypatch):
     assert [a for a, b in zip(got, want) if a != b] == []
 
 
+def test_pairs_at_the_similarity_pass_every_filter():
+    lost = dict.fromkeys(("shard", "radius", "estimate"), 0)
+    for i in range(5000):
+        shared = " ".join(f"w{i}x{j}" for j in range(160))
+        texts = [shared + "".join(f" {side}{i}x{j}" for j in range(20)) for side in "ab"]
+        (fp, keys, minima), (fp2, keys2, minima2) = (simhash.signature(t, 1) for t in texts)
+        lost["shard"] += not set(keys) & set(keys2)
+        lost["radius"] += ((fp ^ fp2) & (1 << 64) - 1).bit_count() > simhash.SIMILAR_RADIUS
+        lost["estimate"] += np.mean(np.frombuffer(minima, np.uint8) == np.frombuffer(minima2, np.uint8)) < 0.8 - simhash.SLACK
+    assert jaccard(*texts, 1) == 0.8 and not any(lost.values()), lost
+
+
 def test_forest_connects_what_all_similar_pairs_connect():
     rng = np.random.default_rng(4)
     sets = [np.unique(rng.integers(0, 40, rng.integers(1, 40)).astype(np.uint64)) for _ in range(150)]
