@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from keyweave.plans.frames import with_position
 from keyweave.sources.arrow import data_width
 
 HASH_WIDTH_BYTES = 8
@@ -26,7 +27,26 @@ def key_hash(*keys: str) -> Column:
 
 
 def probe_hashes(build: DataFrame, probe: DataFrame, hash_name: str = "hash", row_id: str = "row_id", probe_idx: str = "probe_idx") -> DataFrame:
-    """probe_idx and row_id of every match of hashes; a hash finds all its rows. Page with toLocalIterator."""
+    """probe_idx and row_id of every match of hashes, as a bag; a hash finds all its rows. Null hashes find nothing."""
     build = build.select(F.col(hash_name).alias("_kw_build"), F.col(row_id).alias("row_id"))
     probe = probe.select(F.col(probe_idx).alias("probe_idx"), F.col(hash_name).alias("_kw_probe"))
     return build.join(probe, F.col("_kw_build") == F.col("_kw_probe")).select("probe_idx", "row_id")
+
+
+def probe_pages(matches: DataFrame, rows_per_page: int) -> DataFrame:
+    """matches of probe_hashes with page: in the order of probe_idx, then row_id, every rows_per_page of them are one."""
+    if rows_per_page < 1:
+        raise ValueError("rows_per_page must be 1 or more")
+    placed = with_position(matches, "_kw_match", "probe_idx", "row_id")
+    return placed.withColumn("page", F.floor(F.col("_kw_match") / rows_per_page).cast("long")).drop("_kw_match")
+
+
+def next_page(matches: DataFrame, rows_per_page: int, after: tuple[int, int] | None = None) -> DataFrame:
+    """The first matches, in the order of probe_idx, then row_id, beyond the match after, with which the page before ended; with None, from the start.
+
+    To go on, pass the last row of a page; an empty page is the end. Each task sorts no more than a page.
+    """
+    if after is not None:
+        probe, row = after
+        matches = matches.where((F.col("probe_idx") > probe) | ((F.col("probe_idx") == probe) & (F.col("row_id") > row)))
+    return matches.orderBy("probe_idx", "row_id").limit(rows_per_page)

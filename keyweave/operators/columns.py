@@ -12,6 +12,8 @@ from pyspark.sql import types as T
 from keyweave.plans.frames import with_position
 
 POSITION = "_kw_position"
+#: Slices that end before this row are taken without numbering all rows.
+FIRST = 1 << 20
 
 
 def _at(n: int, indices: Sequence[int]) -> list[int]:
@@ -58,9 +60,14 @@ def merge_tables(left: pa.Table | pa.RecordBatch, right: pa.Table | pa.RecordBat
 
 
 def slice_view(df: DataFrame, offset: int, length: int, *order_by: str | Column) -> DataFrame:
-    """Rows offset to offset + length of the order, as far as there are any. Any offset is allowed."""
+    """Rows offset to offset + length of the order, or as the rows come, as far as there are any. Any offset is allowed.
+
+    A slice that ends within the first FIRST rows keeps only that many of each task; one further on goes by positions.
+    """
     if offset < 0 or length < 0:
         raise ValueError("offset and length must not be negative")
+    if offset + length <= FIRST:
+        return (df.orderBy(*order_by) if order_by else df).offset(offset).limit(length)
     placed = with_position(df, POSITION, *order_by)
     return placed.where((F.col(POSITION) >= offset) & (F.col(POSITION) < offset + length)).drop(POSITION)
 

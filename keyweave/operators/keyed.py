@@ -14,8 +14,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from keyweave.operators.columns import combine
-from keyweave.plans.frames import BROADCAST_BYTES, checkpointed
+from keyweave.operators.columns import combine, merge_tables
+from keyweave.plans.frames import broadcast_if_small, checkpointed
 from keyweave.plans.trace import traced
 from keyweave.sources.arrow import data_width, ensure_compatible, record_batches, row_width, to_frame, to_spark_schema
 from keyweave.sources.storage import parse_storage
@@ -106,10 +106,18 @@ class KeyedTable:
 
     def insert2(self, keys: Data, values: Data) -> KeyedTable:
         """Appends rows whose keys and payloads come as two frames, aligned by position."""
+        return self.insert(self._beside(keys, values, self.build_payload))
+
+    def _beside(self, keys: Data, values: Data, payload: T.StructType) -> DataFrame:
+        """Keys and values as one frame; Arrow data meet before they leave the driver, frames by position."""
+        if not isinstance(keys, DataFrame) and not isinstance(values, DataFrame):
+            ensure_compatible(to_spark_schema(keys.schema), self.keys)
+            ensure_compatible(to_spark_schema(values.schema), payload)
+            return to_frame(self.spark, merge_tables(keys, values))
         keys, values = to_frame(self.spark, keys), to_frame(self.spark, values)
         ensure_compatible(keys.schema, self.keys)
-        ensure_compatible(values.schema, self.build_payload)
-        return self.insert(combine(keys, values))
+        ensure_compatible(values.schema, payload)
+        return combine(keys, values)
 
     def keep(self) -> KeyedTable:
         """Keeps the rows for further probes: in memory, spilling to disk, or written as Parquet under the storage's path.
@@ -148,8 +156,7 @@ class KeyedTable:
         build = self._rows if self._rows is not None else self.rows.toDF(*[f"_kw_b{i}" for i in range(len(self.build_schema))])
         hinted = build
         if strategy == "broadcast":
-            fits = build.count() * default_width(self.build_schema) <= BROADCAST_BYTES
-            hinted = F.broadcast(build) if fits else build
+            hinted = broadcast_if_small(build)
         elif strategy is not None:
             hinted = build.hint(strategy)
         on = self._condition([build[f"_kw_b{i}"] for i in range(n_keys)], [probe[f"_kw_p{i}"] for i in range(n_keys)])
@@ -173,7 +180,7 @@ class KeyedTable:
         """Keys, build payload, probe payload of every match. Lazy; a callback gets the rows as record batches at once.
 
         Batches have rows_per_batch rows, -1: default_rows_per_batch, the last one what is left; without
-        a match there is none. strategy hints at a join: broadcast (only if the counted rows fit),
+        a match there is none. strategy hints at a join: broadcast (only if the bytes of all values fit),
         shuffle_hash or merge.
         """
         if self.probe_schema is None:
@@ -194,18 +201,5 @@ class KeyedTable:
         """inner_join of keys and probe payloads that come as two frames, aligned by position."""
         if self.probe_payload is None:
             return self.inner_join(keys)
-        keys, values = to_frame(self.spark, keys), to_frame(self.spark, values)
-        ensure_compatible(keys.schema, self.keys)
-        ensure_compatible(values.schema, self.probe_payload)
-        return self.inner_join(combine(keys, values), callback, rows_per_batch, **options)
-
+        return self.inner_join(self._beside(keys, values, self.probe_payload), callback, rows_per_batch, **options)
 
-def default_width(schema: T.StructType) -> int:
-    """Bytes that a row is taken to have when a broadcast is weighed; variable ones count 64 each."""
-    total = 16
-    for f in schema:
-        try:
-            total += max(8, data_width(f.dataType))
-        except NotImplementedError:
-            total += 64
-    return total

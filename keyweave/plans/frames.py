@@ -1,23 +1,32 @@
-"""Materialised frames and dense row positions."""
+"""Materialised frames, dense row positions, measured sizes."""
 
 from __future__ import annotations
 
+import re
 import tempfile
 from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: A broadcast is asked for only below this many bytes, measured on the frame itself.
 BROADCAST_BYTES = 32 << 20
 #: monotonically_increasing_id keeps the partition above these bits and the place in it below.
 PLACE_BITS = 33
+#: Copies of one row that a task places at most.
+COPIES = 1 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where that is unset, as in tests, a temporary one."""
+    """The folder that driver and executors share: spark.checkpoint.dir.
+
+    Where it is unset, a session on one machine, as in tests, gets a temporary folder; on a cluster that is an error.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="checkpoint-")
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(found)
@@ -30,24 +39,103 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def _value_bytes(column: Column, kind: T.DataType) -> Column:
+    """About how many bytes a value takes in memory; null takes 8."""
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        found = F.octet_length(column).cast("long") + 8
+    elif isinstance(kind, T.ArrayType) and isinstance(kind.elementType, (T.NumericType, T.BooleanType, T.DatetimeType)):
+        found = F.size(column).cast("long") * 8 + 24
+    elif isinstance(kind, T.ArrayType):
+        found = F.aggregate(column, F.lit(24).cast("long"), lambda total, x: total + _value_bytes(x, kind.elementType))
+    elif isinstance(kind, T.MapType):
+        found = _value_bytes(F.map_keys(column), T.ArrayType(kind.keyType)) + _value_bytes(F.map_values(column), T.ArrayType(kind.valueType))
+    elif isinstance(kind, T.StructType):
+        found = F.lit(8).cast("long")
+        for f in kind:
+            found += _value_bytes(column.getField(f.name), f.dataType)
+    elif isinstance(kind, T.VariantType):
+        found = F.octet_length(column.cast("string")).cast("long") + 16
+    else:
+        return F.lit(8).cast("long")
+    return F.coalesce(found, F.lit(8).cast("long"))
+
+
+def measured_bytes(df: DataFrame) -> int:
+    """What the rows of df take in memory, from the lengths of all values, in one pass that returns one number."""
+    names = [f"c{i}" for i in range(len(df.columns))]
+    width = F.lit(16).cast("long")
+    for name, f in zip(names, df.schema):
+        width += _value_bytes(F.col(name), f.dataType)
+    return df.toDF(*names).agg(F.coalesce(F.sum(width), F.lit(0)).alias("bytes")).first()[0]
+
+
+def broadcast_if_small(df: DataFrame) -> DataFrame:
+    """df marked for broadcast if its measured bytes fit BROADCAST_BYTES; else the planner decides."""
+    return F.broadcast(df) if measured_bytes(df) <= BROADCAST_BYTES else df
+
+
+def _numbered(df: DataFrame, name: str) -> DataFrame:
+    """df, which is checkpointed, with its dense position as it is stored: the count of the partitions before, found by partition, plus the place within."""
+    part = F.spark_partition_id().alias("_kw_part")
+    counts = sorted(df.groupBy(part).count().collect())  # one row per partition
+    firsts = list(zip((c[0] for c in counts), accumulate((c[1] for c in counts), initial=0)))
+    if not firsts:
+        return df.withColumn(name, F.lit(0).cast("long"))
+    within = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << PLACE_BITS) - 1))
+    rows = df.select("*", part, within.alias("_kw_within"))
+    known = F.broadcast(df.sparkSession.createDataFrame(firsts, "_kw_part int, _kw_first long"))
+    return rows.join(known, "_kw_part").withColumn(name, F.col("_kw_first") + F.col("_kw_within")).drop("_kw_part", "_kw_first", "_kw_within")
+
+
+def _hashable(kind: T.DataType) -> bool:
+    if isinstance(kind, T.ArrayType):
+        return _hashable(kind.elementType)
+    if isinstance(kind, T.StructType):
+        return all(_hashable(f.dataType) for f in kind)
+    return not isinstance(kind, (T.MapType, T.VariantType, T.UserDefinedType))
+
+
+def _handle(df: DataFrame) -> list[Column]:
+    """128 bits that tell rows of different values apart; floats go by their text, in which 0.0 and -0.0 differ."""
+    columns = [F.col(f"`{f.name}`").cast("string") if re.search("float|double", f.dataType.simpleString()) else F.col(f"`{f.name}`") for f in df.schema]
+    none = [F.col(f"`{f.name}`").isNull() for f in df.schema]  # a null leaves the hash as it was
+    return [F.xxhash64(*columns, *none).alias("_kw_h1"), F.xxhash64(F.lit("2"), *none, *columns).alias("_kw_h2")]
+
+
 def with_position(df: DataFrame, name: str, *order_by: str | Column) -> DataFrame:
     """df with its dense position from 0 as long column name, in the given order, or as the rows come.
 
-    Rows are sorted by range over all tasks, never in one. Equal rows of the order keep the order in
-    which they are read. The sorted rows are kept in the shared folder, so that places counted once
-    hold; then a partition's first position is the sum of the counts before it, one number for each.
+    In a given order only the order's columns and a 128-bit hash of each row are sorted, by range over
+    all tasks, and kept in the shared folder; the rows themselves move once, to meet their positions.
+    Equal rows of the order go by that hash, so a rerun gives the same positions; a frame is read twice and must
+    have the same rows both times. Copies of one row, which are alike, get the positions of all of them.
+
+    Without an order, and for columns that have no hash (maps) or rows that may change from one reading to
+    the next, the rows as they come are kept in the shared folder.
     """
-    place = "_kw_place"
-    if order_by:
-        df = df.withColumn(place, F.monotonically_increasing_id())
+    deterministic = df._jdf.queryExecution().analyzed().deterministic()
+    if not order_by:
+        return _numbered(checkpointed(df), name)
+    if not deterministic or not all(_hashable(f.dataType) for f in df.schema):
+        place = "_kw_place"
         order = [*order_by, F.col(place)]
-        df = df.repartitionByRange(*order).sortWithinPartitions(*order).drop(place)
-    df = checkpointed(df)
-    part = F.spark_partition_id()
-    counts = sorted(df.groupBy(part.alias("part")).count().collect())
-    firsts = accumulate((c[1] for c in counts), initial=0)
-    pairs = [F.lit(x) for c, first in zip(counts, firsts) for x in (c.part, first)]
-    if not pairs:
-        return df.withColumn(name, F.lit(0).cast("long"))
-    within = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << PLACE_BITS) - 1))
-    return df.withColumn(name, F.element_at(F.create_map(*pairs), part).cast("long") + within)
+        df = df.withColumn(place, F.monotonically_increasing_id()).repartitionByRange(*order).sortWithinPartitions(*order).drop(place)
+        return _numbered(checkpointed(df), name)
+
+    handled, both = df.select("*", *_handle(df)), ["_kw_h1", "_kw_h2"]
+    order = [*order_by, *map(F.col, both)]
+    narrow = handled.repartitionByRange(*order).sortWithinPartitions(*order).select(*both)
+    placed = checkpointed(_numbered(checkpointed(narrow), "_kw_at"))
+    repeated = checkpointed(placed.groupBy(*both).agg(F.count("*").alias("n"), F.min("_kw_at").alias("low"), F.max("_kw_at").alias("high")).where("n > 1").drop("n"))
+    if repeated.isEmpty():
+        return handled.join(placed, both).drop(*both).withColumnRenamed("_kw_at", name)
+    # One of all copies meets the positions of all, in pieces of COPIES, so that no task gets all of a hot row.
+    keys = broadcast_if_small(repeated)
+    single = handled.join(keys.select(*both), both, "left_anti").join(placed, both)
+    piece = F.floor(F.col("_kw_at") / COPIES).alias("_kw_piece")
+    pieces = F.explode(F.sequence(F.floor(F.col("low") / COPIES), F.floor(F.col("high") / COPIES))).alias("_kw_piece")
+    content = handled.join(keys.select(*both), both, "left_semi").dropDuplicates(both)
+    content = content.join(repeated, both).select(*[f"`{c}`" for c in content.columns], pieces)
+    copies = placed.select(*both, "_kw_at", piece).join(content, [*both, "_kw_piece"])
+    columns = [*[f"`{c}`" for c in df.columns], F.col("_kw_at").alias(name)]
+    return single.select(*columns).unionAll(copies.select(*columns))

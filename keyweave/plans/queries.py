@@ -250,12 +250,49 @@ def list_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(build, 1, probe).inner_join(probe)
 
 
-@query(None)
+def _xxh64_sql(*columns: str) -> str:
+    """Rows of lineitem with the 64-bit XXH of the columns as longs, seed 42, one value seeding the next; in steps, modulo 2**64."""
+    p1, p2, p3, p4, p5 = 11400714785074694791, 14029467366897019727, 1609587929392839161, 9650029242287828579, 2870177450012600261  # fixed values of XXH64
+    word = "18446744073709551616::UHUGEINT"
+    times = lambda x, p: f"(({x}) * {p}::UHUGEINT % {word})"
+    turned = lambda x, r: f"(({x}) * {1 << r}::UHUGEINT % {word} + ({x}) // {1 << 64 - r}::UHUGEINT)"
+    sql = "SELECT *, 42::UHUGEINT AS h FROM lineitem"
+    for column in columns:
+        value = f"(CASE WHEN {column} < 0 THEN {column}::HUGEINT + 18446744073709551616 ELSE {column} END)::UHUGEINT"
+        sql = f"SELECT *, {times(value, p2)} AS k FROM ({sql})"
+        sql = f"SELECT * REPLACE (xor((h + {p5}::UHUGEINT + 8) % {word}, {times(turned('k', 31), p1)}) AS h) FROM ({sql})"
+        sql = f"SELECT * EXCLUDE k REPLACE (({times(turned('h', 27), p1)} + {p4}::UHUGEINT) % {word} AS h) FROM ({sql})"
+        for shift, p in ((33, p2), (29, p3), (32, 1)):
+            sql = f"SELECT * REPLACE ({times(f'xor(h, h // {1 << shift}::UHUGEINT)', p)} AS h) FROM ({sql})"
+    signed = "(CASE WHEN h >= 9223372036854775808::UHUGEINT THEN h::HUGEINT - 18446744073709551616 ELSE h::HUGEINT END)::BIGINT"
+    return f"SELECT l_orderkey, l_linenumber, {signed} AS hash FROM ({sql})"
+
+
+@query(_xxh64_sql("l_orderkey", "l_linenumber"))
 def key_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _read(spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber", hashing.key_hash("l_orderkey", "l_linenumber").alias("hash"))
+    items = _read(spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber", F.col("l_linenumber").cast("long").alias("number"))
+    return items.select("l_orderkey", "l_linenumber", hashing.key_hash("l_orderkey", "number").alias("hash"))
 
 
-@query(None)
+def mixed_sql(value: str, *salts: int) -> str:
+    """What datagen.mixed gives, as SQL."""
+    p, f = datagen.PRIME, datagen.FACTOR
+    x = f"(({value}) % {p})"
+    for salt in salts:
+        x = f"(({x} * {f} + {salt}) % {p})"
+    for _ in range(2):
+        x = f"((xor({x}, {x} >> 15) * {f} + 1) % {p})"
+    return x
+
+
+_BUILT = f"SELECT id AS key0, {mixed_sql('id', 42, 0, 1)} AS key1, {mixed_sql('id', 42, 1, 0)} AS b0, {mixed_sql('id', 42, 1, 1)} AS b1 FROM range((SELECT count(*) FROM orders)) r(id)"
+_PROBING = f"SELECT id, {mixed_sql('id', 42, 3)} % n + CASE WHEN {mixed_sql('id', 42, 2)} % 10000 < 8000 THEN 0 ELSE n END AS k FROM range(4 * (SELECT count(*) FROM orders)) r(id), (SELECT count(*) AS n FROM orders)"
+
+
+@query(
+    f"SELECT b.*, p0, p1 FROM ({_BUILT}) b JOIN (SELECT k AS key0, {mixed_sql('k', 42, 0, 1)} AS key1, {mixed_sql('id', 42, 4, 0)} AS p0, {mixed_sql('id', 42, 4, 1)} AS p1 FROM ({_PROBING})) p"
+    " ON b.key0 = p.key0 AND b.key1 = p.key1"
+)
 def generated_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A build side of one row for each order, probed by four times as many rows, four fifths of which match."""
     n = spark.read.parquet(f"{sf_dir}/orders.parquet").count()

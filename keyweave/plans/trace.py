@@ -6,7 +6,7 @@ import time
 from collections import defaultdict
 from contextlib import contextmanager
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _spent: dict[str, int] = defaultdict(int)
 _open: list[list] = []
@@ -63,3 +63,13 @@ def set_log_level(spark: SparkSession, level: str) -> None:
     if level not in LOG_LEVELS:
         raise ValueError(f"log level must be one of {', '.join(LOG_LEVELS)}")
     spark.sparkContext.setLogLevel(level.upper())
+
+
+def rows_as_text(df: DataFrame, n: int = 20, width: int = 80) -> str:
+    """The first n rows as text for a debugger: a line each, nulls as -, binary values in hex, cut to width characters."""
+
+    def show(value) -> str:
+        return "-" if value is None else bytes(value).hex() if isinstance(value, (bytes, bytearray)) else str(value)
+
+    lines = [", ".join(df.columns)] + [", ".join(map(show, row)) for row in df.limit(n).collect()]
+    return "\n".join(x if len(x) <= width else x[: width - 3] + "..." for x in lines)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import zip_longest
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -132,12 +133,13 @@ def row_width(schema: T.StructType, alignment: int = 8) -> int:
 
 
 def ensure_compatible(item: T.StructType, desired: T.StructType) -> None:
-    """Same number of columns and the same types by position; names and nullability don't matter."""
-    if len(item) != len(desired):
-        raise ValueError(f"Schema mismatch: expected {len(desired)} columns, got {len(item)}")
-    for i, (a, b) in enumerate(zip(item, desired)):
-        if a.dataType != b.dataType:
-            raise ValueError(f"Schema mismatch: column {i} is {a.dataType.simpleString()}, expected {b.dataType.simpleString()}")
+    """Raises ValueError unless both have the same types by position; names and nullability don't matter."""
+    given, wanted = [[f.dataType for f in schema] for schema in (item, desired)]
+    if given == wanted:
+        return
+    differing = [str(i) for i, pair in enumerate(zip_longest(given, wanted)) if pair[0] != pair[1]]
+    listed = lambda kinds: "(" + ", ".join(k.simpleString() for k in kinds) + ")"
+    raise ValueError(f"Schema mismatch: {listed(given)} instead of {listed(wanted)}, apart at {', '.join(differing)}")
 
 
 def num_bytes(df: DataFrame, validity: bool = True) -> DataFrame:
