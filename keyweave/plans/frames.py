@@ -34,9 +34,16 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """df computed once, without lineage, in the shared folder."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """df computed once, without lineage, in the shared folder.
+
+    A checkpoint keeps the planner's estimate of the frame's size, which every join multiplies: over the rounds of
+    an iteration it grows to numbers of millions of digits, which take longer to multiply than the rows. So
+    the kept rows become a frame of unknown size; joins are decided by measured sizes.
+    """
+    spark = df.sparkSession
+    shared_dir(spark)
+    kept = df.checkpoint(eager=True)._jdf
+    return DataFrame(spark._jsparkSession.internalCreateDataFrame(kept.queryExecution().toRdd(), kept.schema(), False), spark)
 
 
 def _value_bytes(column: Column, kind: T.DataType) -> Column:
