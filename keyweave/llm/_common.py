@@ -2,56 +2,52 @@
 
 from __future__ import annotations
 
-import ctypes
-import gc
-import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from contextlib import contextmanager
-from functools import wraps
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Word characters are all but the six ASCII spaces.
-WORD = r"[^\x20\x09-\x0D]+"
+from keyweave.plans.frames import BROADCAST_BYTES, broadcast_if_small, checkpointed, shared_dir
 
-#: A side of a join is broadcast only if its counted rows times its row width stay below this.
-BROADCAST_BYTES = 32 << 20
+__all__ = ["BROADCAST_BYTES", "WORD", "ascii_lower", "broadcast_if_small", "checkpointed", "scratch", "shared_path", "small_batches", "written"]
 
+#: Word characters are all but the six ASCII spaces.
+WORD = r"[^\x20\x09-\x0D]+"
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir of the session.
+#: What a Python worker gets at once: so many rows, and no more than so many bytes unless one row has more.
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
 
-    Only where that is unset (tests on one machine) a temporary folder takes its place.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    context = spark.sparkContext
-    if not found:
-        found = context.getCheckpointDir()
-    if not found:
-        found = tempfile.mkdtemp(prefix="checkpoint-")
-        context.setCheckpointDir(found)
-    elif context.getCheckpointDir() is None:
-        context.setCheckpointDir(found)
-    return found
+#: Folders made since each open scratch began, innermost last.
+_made: list[list[str]] = []
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that no other run uses."""
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A path in the shared folder that no other run uses; removed at the end of the scratch it is made in, if in one."""
+    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    if _made:
+        _made[-1].append(path)
+    return path
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df computed once and kept in the shared folder, so that lost executors lose nothing of it."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Removes the shared paths made inside at its end, by when results that read them must have been written or checkpointed."""
+    _made.append([])
+    try:
+        yield
+    finally:
+        for path in _made.pop():
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def broadcast_if_small(df: DataFrame, row_bytes: int) -> DataFrame:
-    """Marks df for broadcast if its counted rows fit BROADCAST_BYTES; else a shuffled join remains, whose hot keys adaptive execution splits. df is materialised, so counting is cheap."""
-    return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df computed once and written as Parquet in the shared folder: of its columns only those that are asked for are read again."""
+    path = shared_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def ascii_lower(column):
@@ -59,33 +55,15 @@ def ascii_lower(column):
     return F.translate(column, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def release_memory() -> None:
-    """Gives what freed objects still hold back to the system; workers live on after a task, and idle ones would keep it."""
-    gc.collect()
-    pa.default_memory_pool().release_unused()
-    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-    if trim is not None:
-        trim(0)
-
-
-def tidy(f: Callable) -> Callable:
-    """f, called once for each batch, with release_memory before it works: what the batch before left is not kept beside this one."""
-
-    @wraps(f)
-    def tidied(*batch):
-        release_memory()
-        return f(*batch)
-
-    return tidied
-
-
 @contextmanager
-def small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
-    """What runs inside hands texts to Python in batches of so many rows; ten thousand whole texts are much for a worker and for the buffers that feed it."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, str(rows))
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """What runs inside hands texts to Python in batches of BATCH_ROWS and BATCH_BYTES at most; whole texts are much for a worker and for the buffers that feed it."""
+    names = {"spark.sql.execution.arrow.maxRecordsPerBatch": str(BATCH_ROWS), "spark.sql.execution.arrow.maxBytesPerBatch": str(BATCH_BYTES)}
+    before = {name: spark.conf.get(name) for name in names}
+    for name, value in names.items():
+        spark.conf.set(name, value)
     try:
         yield
     finally:
-        spark.conf.set(name, before)
+        for name, value in before.items():
+            spark.conf.set(name, value)

@@ -213,7 +213,7 @@ def _measure(points: DataFrame, placed: DataFrame, asked: DataFrame, k: int, sha
     true = points.select("point", "vec").mapInArrow(against, "query long, point long, score double")
     true = checkpointed(_top(true, "query", k, F.desc("score"), F.col("point")).select("query", "point"))  # MEASURED * k rows at most
     mine = placed.withColumnsRenamed({"point": "query", "places": "mine"})
-    pairs = placed.join(F.broadcast(true), "point").select("query", "places").join(broadcast_if_small(mine.join(F.broadcast(true.select("query").distinct()), "query", "left_semi"), 400), "query")
+    pairs = placed.join(F.broadcast(true), "point").select("query", "places").join(broadcast_if_small(mine.join(F.broadcast(true.select("query").distinct()), "query", "left_semi")), "query")
     apart = F.array_min(F.zip_with("places", "mine", lambda a, b: F.abs(a["place"] - b["place"])))
     row = pairs.select(apart.alias("d")).agg(F.percentile("d", F.lit(float(share))).alias("w")).first()
     return max(1, min(n, int(np.ceil(row.w or 1))))

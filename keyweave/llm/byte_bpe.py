@@ -27,10 +27,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StringType, StructField, StructType
 
-from keyweave.llm._common import checkpointed, release_memory, small_batches
+from keyweave.llm._common import checkpointed, small_batches
 
 #: A block is closed after this many characters of text.
 BLOCK_CHARS = 32 << 20
+#: Bytes of text for which there is a task that owns words and one that reassembles.
+TASK_BYTES = 64 << 20
 #: A row of positions is closed after this many of them.
 CHUNK = 1 << 18
 
@@ -157,7 +159,6 @@ def _splitter(pattern: str, parts: int):
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find, number = regex.compile(pattern).findall, TaskContext.get().partitionId() << 32
         block = schema = None
-        release_memory()
         for batch in batches:
             if block is None:
                 fields = [("kind", pa.int32()), ("block", pa.int64()), ("place", pa.int64()), ("keys", pa.list_(batch.column(0).type)), ("sizes", pa.binary()), ("payload", pa.binary()), ("numbers", pa.binary())]
@@ -167,13 +168,10 @@ def _splitter(pattern: str, parts: int):
                 block.add(key, text.as_py(), find)
                 if block.chars >= BLOCK_CHARS:
                     yield from block.rows()
-                    release_memory()
                     number += 1
                     block = _Block(number, parts, schema)
         if block is not None and block.keys:
             yield from block.rows()
-        block = batch = None
-        release_memory()
 
     return split
 
@@ -185,8 +183,9 @@ def encode(df: DataFrame, ranks: dict[bytes, int], pattern: str, key: str = "doc
     some rows doc_id, ids (and decoded) as an Arrow table and gives doc_id and the columns finished, so that
     what is wanted of the ids, such as digests, leaves the task instead of them.
 
-    parts: tasks that own the distinct words, by default the session's shuffle partitions; a task holds
-    its share of the corpus's distinct words, a block's task the words and ids of BLOCK_CHARS of text.
+    parts: tasks that own the distinct words, and tasks that reassemble blocks; by default one for each
+    TASK_BYTES of text, which are added up first, but not fewer than the session's shuffle partitions. So a task's share of the corpus's
+    distinct words and of the blocks stays the same however large the corpus is; one block at a time is in memory.
     A common word comes once from each block, so no part is hot. Rows in the shared folder between the
     two steps make the numbers of a block survive lost executors.
 
@@ -195,7 +194,9 @@ def encode(df: DataFrame, ranks: dict[bytes, int], pattern: str, key: str = "doc
     columns are not looked at.
     """
     spark = df.sparkSession
-    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if parts is None:
+        total = df.agg(F.coalesce(F.sum(F.octet_length(F.col(text).cast("string"))), F.lit(0)).alias("bytes")).first()[0]
+        parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // TASK_BYTES))
     rows = df.select(F.col(key).alias("doc_id"), F.col(text).cast("string").alias("text"))
     key_type = rows.schema["doc_id"].dataType
     with small_batches(spark):
@@ -203,16 +204,16 @@ def encode(df: DataFrame, ranks: dict[bytes, int], pattern: str, key: str = "doc
     shared = spark.sparkContext.broadcast(ranks)  # one entry per vocabulary entry
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        piece = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=shared.value, special_tokens={})._encode_single_piece
+        # A pattern that takes any text whole: what comes in is one pre-token each.
+        piece = tiktoken.Encoding("words", pat_str=r"(?s:.+)", mergeable_ranks=shared.value, special_tokens={}).encode_ordinary
         known: dict[bytes, bytes] = {}
-        release_memory()
         for batch in batches:
             out = []
             for row in batch.to_pylist():
                 words = unpack_words(row["sizes"], row["payload"])
                 for word in words:
                     if word not in known:
-                        known[word] = np.array(piece(word), np.uint32).tobytes()
+                        known[word] = np.array(piece(word.decode()), np.uint32).tobytes()
                 found = [known[w] for w in words]
                 counts = np.fromiter(map(len, found), np.uint32, len(found)) // 4
                 out.append((row["block"], row["numbers"], pack(counts), pack_ids(np.frombuffer(b"".join(found), np.uint32))))
@@ -223,7 +224,6 @@ def encode(df: DataFrame, ranks: dict[bytes, int], pattern: str, key: str = "doc
     texts = made.where("kind = 1").select("block", "place", "keys", "sizes", "payload")
 
     def reassemble(texts: pa.Table, words: pa.Table) -> pa.Table:
-        release_memory()
         sizes = np.zeros(0, np.int64)
         numbers = [np.cumsum(unpack(x), dtype=np.int64) for x in words.column("numbers").to_pylist()]
         counts, ids = [unpack(x) for x in words.column("sizes").to_pylist()], [unpack_ids(x) for x in words.column("ids").to_pylist()]
@@ -247,6 +247,7 @@ def encode(df: DataFrame, ranks: dict[bytes, int], pattern: str, key: str = "doc
 
     columns = [StructField("ids", ArrayType(IntegerType())), *([StructField("decoded", BinaryType())] if decoded else [])]
     schema = StructType([StructField("doc_id", key_type), *(finished if finish else columns)])
+    texts, merged = (x.repartition(parts, "block") for x in (texts, merged))  # both meet as they lie; the planner would take the session's partitions
     return texts.groupBy("block").cogroup(merged.groupBy("block")).applyInArrow(reassemble, schema)
 
 

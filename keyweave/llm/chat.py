@@ -48,15 +48,16 @@ def format_preferences(turns: DataFrame, pair: Column, chosen: Column, turn: str
     points of a completion's assistant texts, end marker included; all else is not learned. If one
     conversation is a prefix of the other, all of it is prompt and its completion is empty.
 
-    A null role is written as "unknown", a null text as "", so they equal these. A side without turns
+    A turn of a null pair belongs to no other, however many there are: each is a pair of its own. A null role is written as "unknown", a null text as "", so they equal these. A side without turns
     has an empty prompt and a null completion and mask. Repeated rows are turns of their own. Null turn
-    numbers come first; a null pair is a pair. Markers inside texts stay as they are; masks don't depend
+    numbers come first. Markers inside texts stay as they are; masks don't depend
     on them. Empty tables give an empty result; other columns are not looked at.
     """
     item = F.struct(F.col(turn).alias("turn"), F.coalesce(F.col(role).cast("string"), F.lit("unknown")).alias("role"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     rows = turns.select(pair.alias("pair_id"), F.coalesce(chosen, F.lit(False)).alias("is_chosen"), item.alias("t"))
+    rows = rows.withColumn("alone", F.when(F.col("pair_id").isNull(), F.monotonically_increasing_id()))
     side = lambda wanted: F.transform(F.sort_array(F.collect_list(F.when(wanted, F.col("t")))), lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text")))
-    pairs = rows.groupBy("pair_id").agg(side(F.col("is_chosen")).alias("c"), side(~F.col("is_chosen")).alias("r"))
+    pairs = rows.groupBy("pair_id", "alone").agg(side(F.col("is_chosen")).alias("c"), side(~F.col("is_chosen")).alias("r"))
     pairs = pairs.withColumn("n_prompt_turns", common_prefix(F.col("c"), F.col("r")))
     n = F.col("n_prompt_turns")
     rest = lambda side: F.slice(F.col(side), n + 1, F.greatest(F.size(side) - n, F.lit(0)))
@@ -69,4 +70,5 @@ def format_preferences(turns: DataFrame, pair: Column, chosen: Column, turn: str
 
 def pair_conversations(conversations: DataFrame, key: str = "conv_id") -> DataFrame:
     """format_preferences of conversations stored side by side: key 2k is the chosen one, 2k + 1 the rejected one of pair k."""
-    return format_preferences(conversations, F.floor(F.col(key) / 2).cast("long"), F.pmod(F.col(key), F.lit(2)) == 0)
+    number = F.col(key).cast("long")  # bits, not division: doubles don't hold all longs
+    return format_preferences(conversations, F.shiftright(number, 1), number.bitwiseAND(F.lit(1)) == 0)

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from keyweave.llm._common import broadcast_if_small, checkpointed, tidy
+from keyweave.llm._common import broadcast_if_small, checkpointed, small_batches
 
 #: Bits of the hashed presence vector for n-grams of length 1, 2, 3.
 BITS = (10, 13, 14)
@@ -134,7 +134,7 @@ def fit(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lan
     each = max(1, min(ROWS_EACH, MOST_ROWS // max(1, counts.count())))
     # About four times as many as wanted have a hash low enough; only these are ranked, however many a language has.
     low = F.pmod("hash", F.lit(1 << 30)) < F.lit(4.0 * each * (1 << 30)) / F.col("n")
-    near = keys.join(broadcast_if_small(counts, 60), "lang").where(low)
+    near = keys.join(broadcast_if_small(counts), "lang").where(low)
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.pmod("hash", F.lit(1 << 30)), "hash"))
     wanted = near.withColumn("rank", rank).where(F.col("rank") <= each).select("lang", "hash")
     wanted = checkpointed(wanted)
@@ -163,7 +163,7 @@ def _predict(df: DataFrame, text: str, model: Model) -> Column:
         return pd.DataFrame({"lang_pred": names, "score": scores})
 
     # Not marked as deterministic, or a filter on the prediction would have it computed once more for itself.
-    return F.pandas_udf(tidy(predict), "lang_pred string, score double").asNondeterministic()(F.col(text))
+    return F.pandas_udf(predict, "lang_pred string, score double").asNondeterministic()(F.col(text))
 
 
 def identify(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:

@@ -58,7 +58,7 @@ def solve(cells: DataFrame, targets: DataFrame, cap: float) -> DataFrame:
     state = checkpointed(targets.withColumns({"lambda_": F.lit(0.0), "low": F.lit(-700.0), "high": F.lit(700.0)}))
     # A source with target 0 needs no lambda: its rate is 0.
     for _ in range(MOST_STEPS):
-        here = broadcast_if_small(state.withColumnRenamed("source", "_kw_source"), 80)
+        here = broadcast_if_small(state.withColumnRenamed("source", "_kw_source"))
         tilted = F.col("base") * F.exp("lambda_")
         sums = (
             cells.join(here, cells["source"].eqNullSafe(here["_kw_source"]))
@@ -111,7 +111,7 @@ def plan_mix(rows: DataFrame, weights: tuple[float, ...], share: float, cap: flo
     solved = solve(cells, source_targets(sizes, weights, share, cap), cap)
     plan = solved.select(F.col("source").alias("_kw_of"), F.col("source_size").alias("_kw_source_size"), F.col("target").alias("_kw_target"), F.col("lambda_").alias("_kw_lambda"))
 
-    rated = _rated(rows, broadcast_if_small(plan, 80), cap)
+    rated = _rated(rows, broadcast_if_small(plan), cap)
     # Where the running sum of words, in order of the hash, meets what the fractions are to take:
     # first the cell, then the cell within it, then the document. No step sorts more than the cells of a source.
     met = None
@@ -123,7 +123,7 @@ def plan_mix(rows: DataFrame, weights: tuple[float, ...], share: float, cap: flo
         cells = cells.withColumn("upto", F.sum("words").over(whole.orderBy("cell"))).withColumn("left", (F.sum if met is None else F.max)("left").over(whole))
         meets = F.min_by(F.struct("cell", (F.col("left") - F.col("upto") + F.col("words")).alias("left")), F.when(F.col("upto") >= F.col("left"), F.col("cell")))
         met = checkpointed(cells.groupBy("of2").agg(meets.alias("m")).select(F.col("of2").alias("_kw_of2"), F.col("m.cell").alias("_kw_met"), F.col("m.left").alias("left")))
-        met = broadcast_if_small(met, 60)
+        met = broadcast_if_small(met)
     inside = _inside(rated, met, LEVELS)
     inside = inside.groupBy("_kw_of2", "_kw_at").agg(F.sum("_kw_size").alias("words"), F.first("left").alias("left"))
     inside = inside.withColumn("upto", F.sum("words").over(Window.partitionBy("_kw_of2").orderBy("_kw_at")))
@@ -136,7 +136,7 @@ def plan_mix(rows: DataFrame, weights: tuple[float, ...], share: float, cap: flo
 
 def _with_copies(rows: DataFrame, plan: DataFrame, cap: float) -> DataFrame:
     below = F.coalesce(F.col("_kw_at") <= F.col("_kw_last"), F.lit(False)).cast("long")
-    return _rated(rows, broadcast_if_small(plan, 100), cap).withColumn("_kw_copies", F.col("_kw_whole") + below)
+    return _rated(rows, broadcast_if_small(plan), cap).withColumn("_kw_copies", F.col("_kw_whole") + below)
 
 
 def _inputs(df: DataFrame, key: str, text: str, source: str, base: str | None) -> dict[str, Column]:

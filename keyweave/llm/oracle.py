@@ -5,23 +5,17 @@ from __future__ import annotations
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def _rate_rows() -> str:
-    from keyweave.llm.quality import LEAST_SPREAD, RATES
-
-    rates = {k: v.replace(" div ", " // ") for k, v in RATES.items()}
-    return " UNION ALL ".join(f"SELECT lang, source, '{k}' AS rate, {v} AS value, {LEAST_SPREAD[k]} AS least FROM counted WHERE n_words > 0" for k, v in rates.items())
-
-
 def quality_ctes(documents: str = "documents") -> str:
-    """counted, fenced and judged as WITH entries; judged has a row per document."""
-    from keyweave.llm.quality import LEAST_DOCUMENTS, RATES, REACH, TWO_SIDED
+    """counted, merged, fenced and judged as WITH entries; judged has a row per document."""
+    from keyweave.llm.quality import BASE_FAILED, FENCES, PRIOR, RATES, REACH
 
-    inside = " AND ".join(
-        f"coalesce({v.replace(' div ', ' // ')} <= hi_{k}, true)" + (f" AND coalesce({v.replace(' div ', ' // ')} >= lo_{k}, true)" if k in TWO_SIDED else "") for k, v in RATES.items()
-    )
-    sides = ", ".join(f"max(q3 + {REACH} * greatest(q3 - q1, least)) FILTER (rate = '{k}') AS hi_{k}, max(q1 - {REACH} * greatest(q3 - q1, least)) FILTER (rate = '{k}') AS lo_{k}" for k in RATES)
-    names = [f"{s}_{k}" for k in RATES for s in ("hi", "lo")]
-    best = ", ".join(f"CASE WHEN f.documents >= {LEAST_DOCUMENTS} THEN f.{n} WHEN l.documents >= {LEAST_DOCUMENTS} THEN l.{n} ELSE a.{n} END AS {n}" for n in names)
+    rates = {k: v.replace(" div ", " // ") for k, v in RATES.items()}
+    rows = " UNION ALL ".join(f"SELECT lang, source, '{k}' AS rate, {v} AS value FROM counted WHERE NOT ({BASE_FAILED})" for k, v in rates.items())
+    low = lambda k: f"min(bin) FILTER (rate = '{k}' AND upto >= {FENCES[k].low} * n)"
+    high = lambda k: f"min(bin) FILTER (rate = '{k}' AND upto >= {FENCES[k].high} * n)"
+    spread = lambda k: f"{REACH} * greatest({high(k)} - {low(k)}, {FENCES[k].least})"
+    sides = ", ".join(f"{high(k)} + {spread(k)} AS hi_{k}, {low(k)} - {spread(k)} AS lo_{k}" for k in FENCES)
+    inside = " AND ".join(f"coalesce({v} <= hi_{k}, true)" + (f" AND coalesce({v} >= lo_{k}, true)" if FENCES[k].two_sided else "") for k, v in rates.items())
     return f"""
 texts AS (SELECT row_number() OVER () AS uid, doc_id, lang, source, coalesce(text, '') AS text FROM {documents}),
 words AS (SELECT uid, unnest(w) AS word, generate_subscripts(w, 1) AS pos FROM (SELECT uid, regexp_extract_all(text, '{WORD}') AS w FROM texts)),
@@ -32,13 +26,19 @@ by_word AS (SELECT uid, count(*) AS n_words, sum(length(word))::BIGINT AS word_c
 lines AS (SELECT uid, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n_dup_lines FROM (SELECT uid, unnest(string_split(text, chr(10))) AS line FROM texts) WHERE regexp_matches(line, '{WORD}') GROUP BY uid),
 counted AS (SELECT doc_id, lang, source, coalesce(n_words, 0) AS n_words, coalesce(word_chars, 0) AS word_chars, length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols,
   coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(n_lines, 0) AS n_lines FROM texts LEFT JOIN by_word USING (uid) LEFT JOIN lines USING (uid)),
-rates AS ({_rate_rows()}),
+rates AS ({rows}),
 binned AS (SELECT *, (value >> greatest(length(bin(value)) - 6, 0)) << greatest(length(bin(value)) - 6, 0) AS bin FROM rates),
-grouped AS (SELECT 2 AS level, lang, source, rate, bin, least FROM binned UNION ALL SELECT 1, lang, NULL, rate, bin, least FROM binned UNION ALL SELECT 0, NULL, NULL, rate, bin, least FROM binned),
-quartiles AS (SELECT level, lang, source, rate, any_value(least) AS least, count(*) AS documents, quantile_disc(bin, 0.25) AS q1, quantile_disc(bin, 0.75) AS q3 FROM grouped GROUP BY level, lang, source, rate),
-fenced AS (SELECT level, lang, source, max(documents) AS documents, {sides} FROM quartiles GROUP BY level, lang, source),
-limits AS (SELECT f.lang, f.source, {best} FROM fenced f JOIN fenced l ON l.level = 1 AND l.lang IS NOT DISTINCT FROM f.lang JOIN fenced a ON a.level = 0 WHERE f.level = 2),
-judged AS (SELECT c.*, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND {inside} AS kept
+marks AS (SELECT DISTINCT rate, bin FROM binned),
+groups AS (SELECT DISTINCT lang, source, rate FROM binned),
+merged AS (SELECT lang, source, rate, bin, (SELECT count(*) FROM binned b WHERE b.lang IS NOT DISTINCT FROM g.lang AND b.source IS NOT DISTINCT FROM g.source AND b.rate = g.rate AND b.bin <= m.bin) AS upto0,
+  (SELECT count(*) FROM binned b WHERE b.lang IS NOT DISTINCT FROM g.lang AND b.source IS NOT DISTINCT FROM g.source AND b.rate = g.rate) AS all0 FROM groups g JOIN marks m USING (rate)),
+by_lang AS (SELECT lang, rate, bin, (SELECT count(*) FROM binned b WHERE b.lang IS NOT DISTINCT FROM g.lang AND b.rate = g.rate AND b.bin <= m.bin) AS upto1,
+  (SELECT count(*) FROM binned b WHERE b.lang IS NOT DISTINCT FROM g.lang AND b.rate = g.rate) AS all1 FROM (SELECT DISTINCT lang, rate FROM groups) g JOIN marks m USING (rate)),
+overall AS (SELECT rate, bin, (SELECT count(*) FROM binned b WHERE b.rate = m.rate AND b.bin <= m.bin) AS upto2, (SELECT count(*) FROM binned b WHERE b.rate = m.rate) AS all2 FROM marks m),
+quantiles AS (SELECT g.lang, g.source, rate, bin, upto0 + {PRIOR} * ((upto1 + {PRIOR} * (upto2 / all2)) / (all1 + {PRIOR})) AS upto, all0 + {PRIOR} AS n
+  FROM merged g JOIN by_lang l USING (rate, bin) JOIN overall USING (rate, bin) WHERE g.lang IS NOT DISTINCT FROM l.lang),
+limits AS (SELECT lang, source, {sides} FROM quantiles GROUP BY lang, source),
+judged AS (SELECT c.*, {BASE_FAILED} AS base_failed, NOT ({BASE_FAILED}) AND {inside} AS kept
   FROM counted c LEFT JOIN limits t ON c.lang IS NOT DISTINCT FROM t.lang AND c.source IS NOT DISTINCT FROM t.source)"""
 
 
@@ -56,8 +56,8 @@ WITH payloads AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html
 placed AS (SELECT *, max(page_id) OVER (PARTITION BY html) AS original FROM payloads)
 SELECT page_id, strlen(html) AS payload_bytes, {base32} AS payload_digest, CASE WHEN page_id = original THEN 'response' ELSE 'revisit' END AS record_type, nullif(original, page_id) AS refers_to FROM placed""",
         "op7_chat_formatting": f"""
-WITH turns AS (SELECT floor(conv_id / 2)::BIGINT AS pair_id, conv_id % 2 = 0 AS is_chosen, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text FROM conversations),
-sides AS (SELECT pair_id, coalesce(list({{'role': role, 'text': text}} ORDER BY turn NULLS FIRST, role, text) FILTER (is_chosen), []) AS c, coalesce(list({{'role': role, 'text': text}} ORDER BY turn NULLS FIRST, role, text) FILTER (NOT is_chosen), []) AS r FROM turns GROUP BY pair_id),
+WITH turns AS (SELECT conv_id >> 1 AS pair_id, conv_id & 1 = 0 AS is_chosen, alone, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text FROM (SELECT *, CASE WHEN conv_id IS NULL THEN row_number() OVER () END AS alone FROM conversations)),
+sides AS (SELECT pair_id, coalesce(list({{'role': role, 'text': text}} ORDER BY turn NULLS FIRST, role, text) FILTER (is_chosen), []) AS c, coalesce(list({{'role': role, 'text': text}} ORDER BY turn NULLS FIRST, role, text) FILTER (NOT is_chosen OR is_chosen IS NULL), []) AS r FROM turns GROUP BY pair_id, alone),
 counted AS (SELECT *, coalesce(list_min(list_filter(range(0, least(len(c), len(r))), lambda i: c[i + 1] <> r[i + 1])), least(len(c), len(r)))::INT AS n FROM sides),
 rest AS (SELECT *, c[n + 1:] AS cr, r[n + 1:] AS rr FROM counted)
 SELECT pair_id, n AS n_prompt_turns, {render("c[1:n]")} AS prompt, CASE WHEN len(c) > 0 THEN {render("cr")} END AS chosen, CASE WHEN len(r) > 0 THEN {render("rr")} END AS rejected,

@@ -1,23 +1,24 @@
 """Quality rules whose thresholds follow the data.
 
 Counts of every whole text become four rates. Quantile sketches of these rates per language and
-source give Tukey fences; documents outside the fences of their group are rejected by a join.
+source give fences; documents outside the fences of their group are rejected by a join.
 
 The sketch keeps, for every value cut to its six leading bits, how often it occurs: a bounded
-number of bins, a relative error of at most 1/32, and merging is adding counts. So the sketches
-of all sources of a language, or of all languages, come from the same bins without another look
-at the documents.
+number of bins, a relative error of at most 1/32, and merging is adding counts. A group's sketch is
+merged with its language's at the weight of PRIOR documents, that with the sketch of all documents at the same
+weight; so the fewer documents a group has, the more it follows its language, by one rule for all sizes.
 """
 
 from __future__ import annotations
 
 from collections import Counter
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from keyweave.llm._common import broadcast_if_small, checkpointed, small_batches, tidy
+from keyweave.llm._common import broadcast_if_small, checkpointed, small_batches, written
 
 SPACES = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
@@ -30,14 +31,28 @@ RATES = {
     "repeats": "n_repeat_words * 10000 div greatest(n_words, 1)",
     "word_length": "word_chars * 100 div greatest(n_words, 1)",
 }
-#: A fence lies REACH spreads beyond the quartile; the spread is the distance of the quartiles,
-#: but at least this, so that groups without any variation don't reject their first odd document.
-LEAST_SPREAD = {"symbols": 600, "dup_lines": 1500, "repeats": 1500, "word_length": 100}
+#: A fence lies REACH spreads beyond the upper of two quantiles (and below the lower, if being low is odd as well); the
+#: spread is their distance, but at least a few units, so that groups without any variation don't reject their first
+#: odd document. Symbols and long words are rare in all but odd documents, so the quartiles tell what is usual; some repetition
+#: is usual in a few good documents of each group, so there the far tail does.
+class Fence(NamedTuple):
+    low: float
+    high: float
+    least: int
+    two_sided: bool = False
+
+
+FENCES = {
+    "symbols": Fence(0.25, 0.75, 20),
+    "dup_lines": Fence(0.5, 0.99, 100),
+    "repeats": Fence(0.5, 0.99, 100),
+    "word_length": Fence(0.25, 0.75, 50, two_sided=True),
+}
 REACH = 3
-#: Only for these is being low odd as well.
-TWO_SIDED = ("word_length",)
-#: A group with fewer documents takes the fences of its language, and that of all documents.
-LEAST_DOCUMENTS = 30
+#: The weight, in documents, at which a parent's sketch is merged into its child's.
+PRIOR = 30
+#: The base rules, by which a document fails however usual its like are.
+BASE_FAILED = "n_words < 50 or 100 * n_repeat_words > 50 * n_words"
 
 COUNTS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long"
 
@@ -72,38 +87,40 @@ def _leading(value: Column) -> Column:
 
 
 def sketches(counted: DataFrame) -> DataFrame:
-    """Bins of every rate per level (2: language and source, 1: language, 0: all), level's key, with counts."""
+    """lang, source, rate, bin, n: the sketch of each language and source, over the documents that pass the base rules."""
     rates = F.explode(F.array(*[F.struct(F.lit(k).alias("rate"), F.expr(v).alias("value")) for k, v in RATES.items()]))
-    bins = counted.where("n_words > 0").select("lang", "source", rates.alias("x"))
-    finest = bins.groupBy("lang", "source", F.col("x.rate").alias("rate"), _leading(F.col("x.value")).alias("bin")).agg(F.count("*").alias("n"))
-    finest = checkpointed(finest)
-    merged = lambda level, lang, source: finest.groupBy(F.lit(level).alias("level"), lang.alias("lang"), source.alias("source"), "rate", "bin").agg(F.sum("n").alias("n"))
-    none = F.lit(None).cast("string")
-    return merged(2, F.col("lang"), F.col("source")).unionByName(merged(1, F.col("lang"), none)).unionByName(merged(0, none, none))
+    bins = counted.where(f"not ({BASE_FAILED})").select("lang", "source", rates.alias("x"))
+    return bins.groupBy("lang", "source", F.col("x.rate").alias("rate"), _leading(F.col("x.value")).alias("bin")).agg(F.count("*").alias("n"))
+
+
+def _running(bins: DataFrame, every: DataFrame, of: list[str], suffix: str) -> DataFrame:
+    """of, rate, bin for every bin of the rate in any sketch, with upto and all, the counts up to the bin and in all."""
+    empty = bins.select(*of, "rate").distinct().join(F.broadcast(every.select("rate", "bin")), "rate")  # bins of four rates: some 2000 rows
+    full = bins.select(*of, "rate", "bin", "n").unionByName(empty.withColumn("n", F.lit(0).cast("long")))
+    full = full.groupBy(*of, "rate", "bin").agg(F.sum("n").alias("n"))
+    group = Window.partitionBy(*of, "rate")
+    return full.select(*of, "rate", "bin", F.sum("n").over(group.orderBy("bin")).alias(f"upto{suffix}"), F.sum("n").over(group).alias(f"all{suffix}"))
 
 
 def fences(counted: DataFrame) -> DataFrame:
-    """Per language and source: the columns lo_<rate> and hi_<rate>, from the finest level with LEAST_DOCUMENTS documents."""
-    bins = checkpointed(sketches(counted))
-    per = ("level", "lang", "source", "rate")
-    ranked = bins.withColumn("upto", F.sum("n").over(Window.partitionBy(*per).orderBy("bin"))).withColumn("all", F.sum("n").over(Window.partitionBy(*per)))
-    quartile = lambda k: F.min(F.when(F.col("upto") * 4 >= F.col("all") * k, F.col("bin")))
-    least = F.create_map(*[F.lit(x) for pair in LEAST_SPREAD.items() for x in pair])[F.col("rate")]
-    quartiles = ranked.groupBy(*per).agg(quartile(1).alias("q1"), quartile(3).alias("q3"), F.max("all").alias("documents"))
-    spread = F.greatest(F.col("q3") - F.col("q1"), least) * REACH
-    two_sided = F.col("rate").isin(*TWO_SIDED)
-    sides = quartiles.withColumn("hi", F.col("q3") + spread).withColumn("lo", F.when(two_sided, F.col("q1") - spread))
-    found = sides.groupBy("level", "lang", "source").agg(
-        F.max("documents").alias("documents"), *[F.max(F.when(F.col("rate") == k, F.col(side))).alias(f"{side}_{k}") for k in RATES for side in ("lo", "hi")]
-    )
-    bounds = [f"{side}_{k}" for k in RATES for side in ("lo", "hi")]
-    at = lambda level: found.where(F.col("level") == level).select("lang", "source", "documents", F.struct(*bounds).alias("b"))
-    fine, lang, everything = at(2), at(1).drop("source"), at(0).select("b.*").first()
-    overall = F.struct(*[F.lit(everything[c] if everything else None).cast("long").alias(c) for c in bounds])
-    lang = lang.select(F.col("lang").alias("lang1"), F.col("documents").alias("documents1"), F.col("b").alias("b1"))
-    joined = fine.join(lang, fine["lang"].eqNullSafe(lang["lang1"]))
-    best = F.when(F.col("documents") >= LEAST_DOCUMENTS, F.col("b")).when(F.col("documents1") >= LEAST_DOCUMENTS, F.col("b1")).otherwise(overall)
-    return joined.select("lang", "source", best.alias("b")).select("lang", "source", "b.*")
+    """Per language and source: the columns lo_<rate> and hi_<rate>."""
+    finest = checkpointed(sketches(counted))
+    langs = checkpointed(finest.groupBy("lang", "rate", "bin").agg(F.sum("n").alias("n")))
+    every = checkpointed(langs.groupBy("rate", "bin").agg(F.sum("n").alias("n")))
+    overall = _running(every, every, [], "2")
+    langs = _running(langs, every, ["lang"], "1").join(F.broadcast(checkpointed(overall)), ["rate", "bin"])
+    langs = langs.select(F.col("lang").alias("lang1"), F.col("rate").alias("rate1"), F.col("bin").alias("bin1"), ((F.col("upto1") + PRIOR * (F.col("upto2") / F.col("all2"))) / (F.col("all1") + PRIOR)).alias("share"))
+    langs = broadcast_if_small(checkpointed(langs))
+    merged = _running(finest, every, ["lang", "source"], "0")
+    merged = merged.join(langs, merged["lang"].eqNullSafe(langs["lang1"]) & (F.col("rate") == F.col("rate1")) & (F.col("bin") == F.col("bin1")))
+    upto, everything = F.col("upto0") + PRIOR * F.col("share"), F.col("all0") + PRIOR
+    at = lambda k, p: F.min(F.when((F.col("rate") == k) & (upto >= p * everything), F.col("bin")))
+    found = merged.groupBy("lang", "source").agg(*[at(k, p).alias(f"{side}_{k}") for k, f in FENCES.items() for side, p in (("low", f.low), ("high", f.high))])
+    sides = []
+    for k, f in FENCES.items():
+        spread = F.greatest(F.col(f"high_{k}") - F.col(f"low_{k}"), F.lit(f.least)) * REACH
+        sides += [(F.col(f"high_{k}") + spread).alias(f"hi_{k}"), (F.col(f"low_{k}") - spread if f.two_sided else F.lit(None).cast("long")).alias(f"lo_{k}")]
+    return found.select("lang", "source", *sides)
 
 
 def _judged(counted: DataFrame, limits: DataFrame) -> DataFrame:
@@ -113,16 +130,15 @@ def _judged(counted: DataFrame, limits: DataFrame) -> DataFrame:
     inside = F.lit(True)
     for rate, value in RATES.items():
         inside &= F.coalesce(F.expr(value) <= F.col(f"hi_{rate}"), F.lit(True))
-        if rate in TWO_SIDED:
+        if FENCES[rate].two_sided:
             inside &= F.coalesce(F.expr(value) >= F.col(f"lo_{rate}"), F.lit(True))
-    failed = F.expr("n_words < 50 or 100 * n_repeat_words > 50 * n_words")
-    return counted.join(limits, on, "left").withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & inside)
+    return counted.join(limits, on, "left").withColumn("base_failed", F.expr(BASE_FAILED)).withColumn("kept", ~F.col("base_failed") & inside)
 
 
 def _counted(df: DataFrame, carry: dict[str, Column], text: str, lang: str, source: str) -> DataFrame:
     """carry, lang, source and the counts of COUNTS."""
     # Not marked as deterministic, or a filter on the counts would have them computed once more for itself.
-    counts = F.pandas_udf(tidy(_count), COUNTS).asNondeterministic()(F.col(text)).alias("counts")
+    counts = F.pandas_udf(_count, COUNTS).asNondeterministic()(F.col(text)).alias("counts")
     kept = [c.alias(name) for name, c in carry.items()]
     return df.select(*kept, F.col(lang).cast("string").alias("lang"), F.col(source).cast("string").alias("source"), counts).select(*carry, "lang", "source", "counts.*")
 
@@ -132,7 +148,7 @@ def judge_quality(df: DataFrame, key: str = "doc_id", text: str = "text", lang:
 
     Words are runs without ASCII spaces. base_failed: under 50 words, or over half of the words in
     repeated 3-word windows. kept is false for these; else it says whether all four rates lie within
-    the fences of the document's language and source. A text without words adds to no sketch.
+    the fences of the document's language and source. Documents that fail add to no sketch.
 
     Null and empty texts count zero and fail. Null language or source is a value like any other.
     Long texts are counted whole. Equal rows get equal verdicts, each its row; an empty table gives
@@ -140,16 +156,17 @@ def judge_quality(df: DataFrame, key: str = "doc_id", text: str = "text", lang:
     """
     with small_batches(df.sparkSession):
         counted = checkpointed(_counted(df, {"doc_id": F.col(key)}, text, lang, source))
-    limits = broadcast_if_small(checkpointed(fences(counted)), 200)
+    limits = broadcast_if_small(checkpointed(fences(counted)))
     return _judged(counted, limits).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_lines")
 
 
 def keep_quality(df: DataFrame, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
     """The rows of df that judge_quality keeps, with all their columns.
 
-    Texts are counted twice, once for the sketches and once beside the fences, so no text is shuffled.
+    Texts are counted once: rows and counts are written to the shared folder as Parquet, of which the
+    sketches read the counts only. No text is shuffled.
     """
     with small_batches(df.sparkSession):
-        limits = broadcast_if_small(checkpointed(fences(_counted(df, {}, text, lang, source))), 200)
-    rows = _counted(df, {"row": F.struct(*df.columns)}, text, lang, source)
+        rows = written(_counted(df, {"row": F.struct(*df.columns)}, text, lang, source), "counted")
+    limits = broadcast_if_small(checkpointed(fences(rows)))
     return _judged(rows, limits).where("kept").select("row.*")

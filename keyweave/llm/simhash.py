@@ -6,20 +6,24 @@ Fingerprints that differ in at most 3 of 64 bits agree in one of four 16-bit ban
 bands, three of six and so on. So distinct fingerprints are dealt out by (bands, their bits), longer ones
 the more fingerprints there are, and each such shard has a BK-tree of its own;
 the sum of all trees grows with the corpus, so a tree goes to the queries of its shard, never to
-all executors. Shards above TREE fingerprints are cut into blocks; each pair of blocks is a task
-of its own, to which the tree of one block and the queries of the other are sent. Links leave a
-task as a spanning forest, at most one per fingerprint, which keeps all that connects.
+all executors. Links leave a task as a spanning forest, at most one per fingerprint, which keeps all that connects.
 
 By similarity (similar_texts): texts whose sets of word shingles have a Jaccard similarity of 0.8
 differ in some 10 bits, too many for bands. There the shards are made of texts that share two
 minima of their shingles' hashes, in any of TABLES pairs; each shard's tree is asked with SIMILAR_RADIUS,
-a signature of 128 minima thins out what it finds, and the texts themselves decide. Tasks of many texts
-get the sets of shingles too and decide at once, so that their links leave as a spanning forest.
+a signature of 128 minima thins out what it finds, and the sets of shingles decide in the same task. Shards with
+the same members are one.
+
+Large shards: a tree holds TREE (or SIMILAR_TREE) members, so a larger shard is cut into blocks by hash, each a
+task. What is linked within blocks is one group from then on; one member of each group, dealt into blocks
+anew, goes on while that at least halves the groups. What still lies apart is compared exactly: the members outside
+each shard's largest group, in blocks that make the trees, with all members of the shard. So a family of near copies costs
+a row for each member, and only members that have no link to it meet the others block by block.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import chain, combinations
 
 import numpy as np
@@ -29,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keyweave.llm._common import broadcast_if_small, checkpointed, small_batches, tidy
+from keyweave.llm._common import broadcast_if_small, checkpointed, small_batches
 from keyweave.llm.graph import components
 
 #: The most fingerprints in one tree.
@@ -57,7 +61,7 @@ def _fingerprints(texts: pd.Series) -> pd.Series:
 
 def fingerprints_of(text: str):
     """Column of fingerprints as signed longs."""
-    return F.pandas_udf(tidy(_fingerprints), "long")(F.col(text))
+    return F.pandas_udf(_fingerprints, "long")(F.col(text))
 
 
 class BKTree:
@@ -75,17 +79,19 @@ class BKTree:
         while at != new:
             at = self.children[at].setdefault((self.values[at] ^ value).bit_count(), new)
 
-    def within(self, value: int, radius: int) -> list[int]:
+    def hits(self, value: int, radius: int) -> Iterator[int]:
         """Places of the numbers within the radius; only edges that can lead to one are followed."""
-        found, stack = [], [0] if self.values else []
+        stack = [0] if self.values else []
         values, children = self.values, self.children
         while stack:
             at = stack.pop()
             d = (values[at] ^ value).bit_count()
-            if d <= radius:
-                found.append(at)
             stack += [child for edge, child in children[at].items() if d - radius <= edge <= d + radius]
-        return found
+            if d <= radius:
+                yield at
+
+    def within(self, value: int, radius: int) -> list[int]:
+        return list(self.hits(value, radius))
 
 
 class _Sets:
@@ -106,24 +112,31 @@ class _Sets:
         return a != b
 
 
-def _forest(tree_values: list[int], queries: list[int] | None, radius: int) -> list[tuple[int, int]]:
-    """Links that connect what any links within the radius connect; queries None: among the tree's own values."""
-    tree, links, sets = BKTree(), [], _Sets()
-
-    def link(value: int) -> None:
-        for at in tree.within(value, radius):
-            if sets.join(value, tree.values[at]):
-                links.append((value, tree.values[at]))
-
-    if queries is None:
-        for value in tree_values:
-            link(value)
-            tree.add(value)
-    else:
-        for value in tree_values:
-            tree.add(value)
-        for value in queries:
-            link(value)
+def _forest(values: list[int], labels: list, in_tree, same: bool, radius: int, alike: Callable[[int, int], bool] | None = None) -> list[tuple[int, int]]:
+    """Places (i, j) of links that connect what all pairs within the radius, of which alike accepts those that count, connect.
+
+    Equal labels are connected already. same: pairs of any two; else of one in the tree and one not. A search ends when
+    the tree has no other group left to be found.
+    """
+    tree, places, links, sets = BKTree(), [], [], _Sets()
+    groups = set()  # those with a value in the tree
+    for i in range(len(values)) if same else sorted(range(len(values)), key=lambda i: not in_tree[i]):
+        own = sets.top(labels[i])
+        if (same or not in_tree[i]) and groups - {own}:
+            for at in tree.hits(values[i], radius):
+                j = places[at]
+                other = sets.top(labels[j])
+                if other != own and (alike is None or alike(i, j)):
+                    sets.join(other, own)
+                    groups.discard(other)
+                    groups.add(own)
+                    links.append((int(i), int(j)))
+                    if len(groups) == 1:
+                        break
+        if same or in_tree[i]:
+            groups.add(own)
+            tree.add(values[i])
+            places.append(i)
     return links
 
 
@@ -166,14 +179,12 @@ def _as_batch(links: list[tuple[int, int]]) -> pa.RecordBatch:
 
 
 def _search(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
-    """Links of rows (task, in_tree, same, fp)."""
+    """Links of rows (task, in_tree, same, label, node); a node is its fingerprint."""
 
     def links() -> Iterator[list[tuple[int, int]]]:
-        for _, in_tree, same, fp in _runs(batches):
-            values = fp.astype(np.uint64).tolist()
-            tree, queries = (values, None) if same[0] else ([v for v, t in zip(values, in_tree) if t], [v for v, t in zip(values, in_tree) if not t])
-            signed = lambda v: v - (1 << 64) if v >> 63 else v
-            yield [(signed(a), signed(b)) for a, b in _forest(tree, queries, radius)]
+        for _, in_tree, same, label, node in _runs(batches):
+            found = _forest(node.astype(np.uint64).tolist(), label.tolist(), in_tree, bool(same[0]), radius)
+            yield [(int(node[i]), int(node[j])) for i, j in found]
 
     return _link_batches(links())
 
@@ -183,14 +194,60 @@ def _many(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-def _tasks(rows: DataFrame, shard: list[str], item: str, tree: int, block_by: str) -> DataFrame:
-    """task, in_tree, same, item: shards above tree rows are cut into blocks by hash, and each block meets each once; the lower one is the tree."""
-    large = checkpointed(rows.groupBy(*shard).agg(F.count("*").alias("n")).where(F.col("n") > tree))
-    rows = rows.join(broadcast_if_small(large, 40), shard, "left")
-    rows = rows.withColumn("blocks", F.coalesce(F.ceil(F.col("n") / tree), F.lit(1)))
-    rows = rows.withColumn("own", F.pmod(F.xxhash64(block_by), F.col("blocks"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    low, high = F.least("own", "other"), F.greatest("own", "other")
-    return rows.select(F.xxhash64(*shard, low, high).alias("task"), (F.col("own") == low).alias("in_tree"), (low == high).alias("same"), item)
+def _blocks(n, block: int):
+    return F.greatest(F.ceil(n / block), F.lit(1))
+
+
+def link_members(members: DataFrame, payload: DataFrame | None, search: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], block: int) -> DataFrame:
+    """Links a, b that connect the nodes as the links of all pairs in any shard would.
+
+    members: shard, node, n (the shard's members; null: few). payload: node and what search gets of it after task, in_tree, same,
+    label, node. search solves a task of about block rows, or of two blocks that meet.
+    """
+    parts = _many(members)
+
+    def solved(tasks: DataFrame) -> DataFrame:
+        columns = ["task", "in_tree", "same", "label", "node"]
+        rows = tasks.select(*columns) if payload is None else tasks.join(payload, "node").select(*columns, *[c for c in payload.columns if c != "node"])
+        rows = rows.repartition(parts, "task").sortWithinPartitions("task", "node")
+        return checkpointed(rows.mapInArrow(search, "a long, b long"))
+
+    def dealt(rows: DataFrame, n, turn: int) -> DataFrame:
+        """Rows with shard, node, label, cut into blocks by hash, another one each turn."""
+        at = F.pmod(F.xxhash64("node", F.lit(turn)), _blocks(n, block))
+        return rows.select(F.xxhash64("shard", at).alias("task"), F.lit(True).alias("in_tree"), F.lit(True).alias("same"), "label", "node")
+
+    links = solved(dealt(members.withColumn("label", F.col("node")), F.coalesce("n", F.lit(1)), 0))
+    large = checkpointed(members.where(F.col("n") > block))
+    if large.isEmpty():
+        return links
+    before = None
+    for turn in range(1, 64):
+        named = checkpointed(components(links)).withColumnRenamed("node", "_kw_node")
+        current = checkpointed(large.join(named, F.col("node") == F.col("_kw_node"), "left").select("shard", "node", "n", F.coalesce("root", "node").alias("label")))
+        groups = checkpointed(current.groupBy("shard", "label").agg(F.min("node").alias("node"), F.count("*").alias("size")))
+        largest = F.max(F.struct("size", "label")).alias("most")
+        shards = checkpointed(groups.groupBy(F.col("shard").alias("_kw_shard")).agg(F.count("*").alias("groups"), largest).where("groups > 1"))
+        shards = broadcast_if_small(shards)
+        now = groups.join(shards, F.col("shard") == F.col("_kw_shard"))
+        apart = now.count()
+        if not apart:
+            return links
+        if before is not None and 2 * apart > before:
+            break
+        before = apart
+        links = checkpointed(links.unionAll(solved(dealt(now, F.col("groups"), turn))))
+    rows = current.join(shards, F.col("shard") == F.col("_kw_shard")).withColumn("others", F.col("n") - F.col("most.size"))
+    of_others, of_all = _blocks(F.col("others"), block), _blocks(F.col("n"), block)
+    all_of = lambda blocks: F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1))
+    sides = []
+    for in_tree in (True, False):
+        some = rows.where(F.col("label") != F.col("most.label")) if in_tree else rows
+        own = F.pmod(F.xxhash64("node"), of_others if in_tree else of_all)
+        some = some.withColumn("own", own).withColumn("met", all_of(of_all if in_tree else of_others))
+        task = F.xxhash64("shard", *(("own", "met") if in_tree else ("met", "own")))
+        sides.append(some.select(task.alias("task"), F.lit(in_tree).alias("in_tree"), F.lit(False).alias("same"), "label", "node"))
+    return links.unionAll(solved(sides[0].unionAll(sides[1])))
 
 
 def band_masks(n: int, radius: int) -> list[int]:
@@ -213,9 +270,9 @@ def link_fingerprints(values: DataFrame, radius: int = RADIUS, tree: int = TREE)
     masks at least. values are counted, so they should be materialised.
     """
     part = F.array(*[F.col("fp").bitwiseAND(F.lit(m - (1 << 64) if m >= 1 << 63 else m)) for m in band_masks(values.count(), radius)])
-    rows = values.select("fp", F.posexplode(part).alias("band", "part"))
-    tasks = _tasks(rows, ["band", "part"], "fp", tree, "fp").repartition(_many(values), "task").sortWithinPartitions("task", "fp")
-    return tasks.mapInArrow(lambda batches: _search(batches, radius), "a long, b long")
+    rows = values.select(F.col("fp").alias("node"), F.posexplode(part).alias("band", "part")).select("node", F.xxhash64("band", "part").alias("shard"))
+    large = broadcast_if_small(checkpointed(rows.groupBy("shard").agg(F.count("*").alias("n")).where(F.col("n") > tree)))
+    return link_members(rows.join(large, "shard", "left"), None, lambda batches: _search(batches, radius), tree)
 
 
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", radius: int = RADIUS) -> DataFrame:
@@ -237,7 +294,7 @@ def _named(nodes: DataFrame, node: str, links: DataFrame) -> DataFrame:
     found = checkpointed(components(links))
     linked = nodes.join(found, nodes[node] == found["node"])
     roots = checkpointed(linked.groupBy("root").agg(F.min("least").alias("root_least")))
-    named = found.join(broadcast_if_small(roots, 24), "root").select(F.col("node").alias("_kw_node"), "root", "root_least")
+    named = found.join(broadcast_if_small(roots), "root").select(F.col("node").alias("_kw_node"), "root", "root_least")
     joined = nodes.join(named, nodes[node] == named["_kw_node"], "left")
     component = F.when(F.col("root").isNotNull(), F.col("root_least")).otherwise(F.col("least"))
     return joined.withColumn("component_id", component).withColumn("group", F.coalesce("root", node)).drop("_kw_node", "root", "root_least")
@@ -255,8 +312,8 @@ def _grouped_by_radius(rows: DataFrame, radius: int) -> DataFrame:
 MINIMA, TABLES, SIMILAR_RADIUS = 128, 16, 32
 #: How far the signature's estimate may lie below the similarity: six standard deviations, beyond which 8e-9 of pairs at 0.8 are.
 SLACK = 0.22
-#: Up to so many texts in a task all likely links leave it to be tried; beyond it all pairs are compared there, and a spanning forest of the similar ones leaves.
-ALL_LINKS, SIMILAR_TREE = 64, 512
+#: The most sets of shingles in one tree.
+SIMILAR_TREE = 512
 
 _RANDOM = np.random.default_rng(42)
 _MULTIPLY = _RANDOM.integers(0, 1 << 63, MINIMA, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -297,94 +354,72 @@ def _signatures(words_each: int):
     def signatures(texts: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([signature(t, words_each) for t in texts], columns=["fp", "keys", "minima"])
 
-    return F.pandas_udf(tidy(signatures), "fp long, keys array<long>, minima binary").asNondeterministic()
+    return F.pandas_udf(signatures, "fp long, keys array<long>, minima binary").asNondeterministic()
 
 
 def _shingle_bytes(words_each: int):
     def shingle_bytes(texts: pd.Series) -> pd.Series:
         return pd.Series([shingle_hashes(t, words_each).tobytes() for t in texts], dtype="object")
 
-    return F.pandas_udf(tidy(shingle_bytes), "binary").asNondeterministic()
+    return F.pandas_udf(shingle_bytes, "binary").asNondeterministic()
 
 
-def _similar_forest(shingles: list[np.ndarray], in_tree: np.ndarray, same: bool, similarity: float) -> list[tuple[int, int]]:
-    """Places of sets that are similar; the links connect what all similar pairs connect. same: pairs of any two sets; else of one in the tree and one not."""
+def _similar_forest(shingles: list[np.ndarray], in_tree, same: bool, similarity: float, values: list[int] | None = None, minima: list[bytes] | None = None, labels: list | None = None) -> list[tuple[int, int]]:
+    """_forest of sets that are similar, among what the tree of values finds and the minima leave; without these, among all."""
     sizes = np.array([len(x) for x in shingles])
-    ends = np.cumsum(sizes)
-    starts = ends - sizes
     known, flat = np.unique(np.concatenate(shingles), return_inverse=True)
-    marked, label, links = np.zeros(len(known), np.uint8), np.arange(len(sizes)), []
-    for i in range(len(sizes)) if same else np.flatnonzero(~in_tree):
-        others = label != label[i]
-        if same:
-            others[i:] = False
-        else:
-            others &= in_tree
-        others &= np.minimum(sizes, sizes[i]) / np.maximum(sizes, sizes[i]) >= similarity
-        if not others.any():
-            continue
-        own = flat[starts[i] : ends[i]]
-        marked[own] = 1
-        both = np.add.reduceat(marked[flat], starts, dtype=np.int64)
-        marked[own] = 0
-        for j in np.flatnonzero(others & (both / (sizes + sizes[i] - both) >= similarity)):
-            if label[j] != label[i]:
-                label[label == label[j]] = label[i]
-                links.append((int(i), int(j)))
-    return links
+    ids = np.split(flat, np.cumsum(sizes)[:-1])
+    signs = None if minima is None else np.frombuffer(b"".join(minima), np.uint8).reshape(len(sizes), -1)
+    marked, of = np.zeros(len(known), bool), -1
+
+    def alike(i: int, j: int) -> bool:
+        nonlocal of
+        if min(sizes[i], sizes[j]) < similarity * max(sizes[i], sizes[j]) - 1:
+            return False
+        if signs is not None and (signs[i] == signs[j]).mean() < similarity - SLACK:
+            return False
+        if of != i:
+            marked[:] = False
+            marked[ids[i]] = True
+            of = i
+        both = np.count_nonzero(marked[ids[j]])
+        return both / (sizes[i] + sizes[j] - both) >= similarity
+
+    places = range(len(sizes))
+    return _forest(values or [0 for _ in places], labels or list(places), in_tree, same, SIMILAR_RADIUS, alike)
 
 
 def _search_similar(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
-    """Links worth trying, of rows (task, in_tree, same, node, fp, minima, shingles); where these have shingles, similar ones only."""
+    """Links of rows (task, in_tree, same, label, node, fp, minima, shingles)."""
 
     def links() -> Iterator[list[tuple[int, int]]]:
-        for _, in_tree, same, node, fp, minima, shingles in _runs(batches):
-            if shingles[0] is not None:
-                found = _similar_forest([np.frombuffer(x, np.uint64) for x in shingles], in_tree.astype(bool), bool(same[0]), similarity)
-                yield [(int(min(node[i], node[j])), int(max(node[i], node[j]))) for i, j in found]
-                continue
-            values = fp.astype(np.uint64).tolist()
-            bytes_of = np.frombuffer(b"".join(minima), np.uint8).reshape(len(node), -1)
-            tree, places, found = BKTree(), [], []
-            turns = range(len(values)) if same[0] else [*np.flatnonzero(in_tree), *np.flatnonzero(~in_tree.astype(bool))]
-            for i in turns:
-                if same[0] or not in_tree[i]:
-                    near = np.array([places[at] for at in tree.within(values[i], SIMILAR_RADIUS)], np.int64)
-                    if len(near):
-                        alike = (bytes_of[near] == bytes_of[i]).mean(axis=1)
-                        found += [(int(min(node[i], node[j])), int(max(node[i], node[j]))) for s, j in zip(alike, near) if s >= similarity - SLACK]
-                if same[0] or in_tree[i]:
-                    tree.add(values[i])
-                    places.append(i)
-            yield found
+        for _, in_tree, same, label, node, fp, minima, shingles in _runs(batches):
+            sets = [np.frombuffer(x, np.uint64) for x in shingles]
+            found = _similar_forest(sets, in_tree, bool(same[0]), similarity, fp.astype(np.uint64).tolist(), list(minima), label.tolist())
+            yield [(int(node[i]), int(node[j])) for i, j in found]
 
     return _link_batches(links())
 
 
 def _texts_of(df: DataFrame, text: str, some: DataFrame) -> DataFrame:
-    """node and text for each of some (node, hash), checkpointed; other texts are not moved."""
-    some = checkpointed(some.select("node", F.col("hash").alias("_kw_hash")))
+    """node and text for each of some (node, hash), a checkpointed frame; other texts are not moved."""
+    some = some.select("node", F.col("hash").alias("_kw_hash"))
     texts = df.select(F.xxhash64(F.col(text)).alias("hash"), F.col(text).cast("string").alias("text"))
-    texts = texts.join(broadcast_if_small(some, 24), F.col("hash") == F.col("_kw_hash")).groupBy("node").agg(F.first("text").alias("text"))
-    return checkpointed(texts)
+    return texts.join(broadcast_if_small(some), F.col("hash") == F.col("_kw_hash")).groupBy("node").agg(F.first("text").alias("text"))
 
 
 def link_similar(nodes: DataFrame, df: DataFrame, text: str, words_each: int, similarity: float, tree: int | None = None) -> DataFrame:
-    """Links a, b to be tried between nodes (node, hash, fp, keys, minima), whose texts are in df."""
-    rows = nodes.select("node", "hash", F.explode(F.array_distinct("keys")).alias("shard"))
-    shared = checkpointed(rows.groupBy("shard").agg(F.count("*").alias("_kw_n")).where("_kw_n > 1").select("shard"))
-    rows = checkpointed(rows.join(shared, "shard"))
-    tasks = checkpointed(_tasks(rows, ["shard"], "node", tree or SIMILAR_TREE, "hash"))
-    large = checkpointed(tasks.groupBy("task").agg(F.count("*").alias("n")).where(F.col("n") > ALL_LINKS).select("task"))
-    tasks = tasks.join(broadcast_if_small(large.withColumn("large", F.lit(True)), 24), "task", "left")
-    several = tasks.where("large").select("node").distinct().join(nodes.select("node", "hash"), "node")
-    sets = checkpointed(_texts_of(df, text, several).select("node", _shingle_bytes(words_each)("text").alias("shingles")))
-    tasks = tasks.join(nodes.select("node", "fp", "minima"), "node")
-    columns = ["task", "in_tree", "same", "node", "fp", "minima", "shingles"]
-    small = tasks.where("large is null").withColumn("shingles", F.lit(None).cast("binary")).select(*columns)
-    tasks = small.unionByName(tasks.where("large").join(sets, "node").select(*columns))
-    tasks = tasks.repartition(_many(nodes), "task").sortWithinPartitions("task", "node")
-    return tasks.mapInArrow(lambda batches: _search_similar(batches, similarity), "a long, b long").distinct()
+    """Links a, b that connect similar nodes (node, hash, fp, keys, minima), whose texts are in df."""
+    rows = nodes.select("node", F.explode(F.array_distinct("keys")).alias("shard"))
+    # Near copies share many shards; of those with the same members one will do, told by their number and two hashes of all.
+    marks = [F.bit_xor(F.xxhash64("node", F.lit(i))).alias(f"x{i}") for i in range(2)]
+    shards = rows.groupBy("shard").agg(F.count("*").alias("n"), *marks).where("n > 1")
+    shards = checkpointed(shards.groupBy("n", "x0", "x1").agg(F.min("shard").alias("shard")).select("shard", "n"))
+    members = checkpointed(rows.join(broadcast_if_small(shards), "shard").select("shard", "node", "n"))
+    several = checkpointed(members.select("node").distinct().join(nodes.select("node", "hash"), "node"))
+    sets = _texts_of(df, text, several).select("node", _shingle_bytes(words_each)("text").alias("shingles"))
+    payload = checkpointed(nodes.select("node", "fp", "minima").join(sets, "node"))
+    return link_members(members, payload, lambda batches: _search_similar(batches, similarity), tree or SIMILAR_TREE)
 
 
 def _grouped_by_similarity(df: DataFrame, key: str, text: str, words_each: int, similarity: float) -> DataFrame:
@@ -392,17 +427,9 @@ def _grouped_by_similarity(df: DataFrame, key: str, text: str, words_each: int,
     made = df.select(F.col(key).alias("doc_id"), F.xxhash64(F.col(text)).alias("hash"), _signatures(words_each)(F.col(text)).alias("s"))
     with small_batches(df.sparkSession):
         rows = checkpointed(made.select("doc_id", "hash", "s.*"))
-    nodes = rows.groupBy("hash", "fp", "keys", "minima").agg(F.min("doc_id").alias("least"))
-    nodes = checkpointed(nodes.withColumn("node", F.monotonically_increasing_id()))
-    with small_batches(df.sparkSession):
-        tried = checkpointed(link_similar(nodes, df, text, words_each, similarity))
-    # The texts of linked nodes, one of each; other texts are not moved.
-    ends = tried.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    texts = _texts_of(df, text, ends.join(nodes, "node"))
-    left, right = texts.toDF("a", "left"), texts.toDF("b", "right")
-    exact = F.pandas_udf(lambda a, b: pd.Series([jaccard(x, y, words_each) for x, y in zip(a, b)], dtype="float64"), "double")
-    with small_batches(df.sparkSession):
-        links = checkpointed(tried.join(left, "a").join(right, "b").where(exact("left", "right") >= similarity).select("a", "b"))
+        nodes = rows.groupBy("hash", "fp", "keys", "minima").agg(F.min("doc_id").alias("least"))
+        nodes = checkpointed(nodes.withColumn("node", F.monotonically_increasing_id()))
+        links = checkpointed(link_similar(nodes, df, text, words_each, similarity))
     named = checkpointed(_named(nodes.select("node", "hash", "fp", "least"), "node", links).select(F.col("hash").alias("_kw_hash"), F.col("fp").alias("_kw_fp"), "component_id", "group"))
     return rows.select("doc_id", "hash", "fp").join(named, (F.col("hash") == F.col("_kw_hash")) & (F.col("fp") == F.col("_kw_fp"))).select("doc_id", "hash", "component_id", "group")
 
@@ -413,8 +440,7 @@ def similar_texts(df: DataFrame, key: str = "doc_id", text: str = "text", words_
     Texts are linked if the sets of their shingles of words_each words have a Jaccard similarity of at
     least similarity; component_id is the least doc_id reached. No pair below the similarity is linked. A
     pair at 0.8 is missed by shard, radius or estimate with a probability of 1e-7 in all, a closer one
-    with less; in tasks of over ALL_LINKS texts all pairs are compared exactly, and a spanning forest of
-    the similar ones is kept.
+    with less, whatever the size of its group.
 
     Null, empty and blank texts are alike; a text of fewer words is one shingle. Long texts are read whole.
     Null keys are passed over for component_id. Repeated rows keep a row each; an empty table gives an
@@ -435,13 +461,13 @@ def keep_one_of_each(df: DataFrame, key: str = "doc_id", text: str = "text", wor
     joined = grouped.join(checkpointed(best), "group")
     stays = F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("hash") == F.col("best.hash"))
     fates = checkpointed(joined.select(F.col("doc_id").alias("_kw_key"), F.col("hash").alias("_kw_hash"), stays.alias("stays"), "n"))
-    gone = broadcast_if_small(checkpointed(fates.where("not stays").select("_kw_key", "_kw_hash")), 24)
+    gone = broadcast_if_small(checkpointed(fates.where("not stays").select("_kw_key", "_kw_hash")))
     same = F.col(key).eqNullSafe(F.col("_kw_key")) & (F.xxhash64(F.col(text)) == F.col("_kw_hash"))
     kept = df.join(gone, same, "left_anti")
     # Equal key and text more than once: rare, and only then rows must meet.
     repeated = fates.where("stays and n > 1").select("_kw_key", "_kw_hash")
     if not repeated.limit(1).count():
         return kept
-    repeated = broadcast_if_small(checkpointed(repeated), 24)
+    repeated = broadcast_if_small(checkpointed(repeated))
     once = kept.join(repeated, same, "left_anti")
     return once.unionByName(kept.join(repeated, same, "left_semi").dropDuplicates([key, text]))

@@ -119,7 +119,7 @@ def write_archive(df: DataFrame, folder: str, key: str = "page_id", url: str = "
     rows = df.select(F.col(key).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), F.coalesce(F.col(payload).cast("binary"), F.lit(b"")).alias("payload"))
     rows = rows.withColumn("sha1", F.sha1("payload"))
     alike = rows.where(F.octet_length("payload") >= min_bytes).groupBy("sha1").agg(F.max("page_id").alias("original"), F.count("*").alias("n"))
-    alike = broadcast_if_small(checkpointed(alike.where("n > 1 and original is not null").select(F.col("sha1").alias("alike"), "original")), 80)
+    alike = broadcast_if_small(checkpointed(alike.where("n > 1 and original is not null").select(F.col("sha1").alias("alike"), "original")))
     revisits = F.col("original").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("original"))
     rows = rows.join(alike, rows["sha1"] == alike["alike"], "left").select(
         url_key(F.col("url")).alias("url_key"), "page_id", "url", "payload", F.when(revisits, F.col("original")).alias("refers_to")

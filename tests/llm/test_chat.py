@@ -67,6 +67,23 @@ def test_nulls_ties_and_repeats(spark):
     assert chat.pair_conversations(spark.createDataFrame([], TURN)).count() == 0
 
 
+def test_large_keys_and_no_key(spark, tmp_path):
+    """Keys that doubles don't hold pair as others do; turns without a key are not gathered. The same rows by SQL."""
+    big = (1 << 53) + 2
+    turns = [(k, 0, "user", str(k)) for k in (big, big + 1, big + 3, -1, -2, -3, (1 << 63) - 1)] + [(None, 0, "user", "lost")] * 3
+    df = spark.createDataFrame(turns, TURN)
+    made = chat.pair_conversations(df).collect()
+    assert sorted(r.pair_id for r in made if r.pair_id is not None) == [-2, -1, big // 2, big // 2 + 1, (1 << 62) - 1]
+    assert {(r.chosen, r.rejected) for r in made if r.pair_id == big // 2} == {(rendered(("user", str(big))), rendered(("user", str(big + 1))))}
+    assert [r.rejected for r in made if r.pair_id is None] == [rendered(("user", "lost"))] * 3
+    df.write.parquet(str(tmp_path / "conversations.parquet"))
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+    made = op7_chat_formatting(spark, str(tmp_path))
+    want = db.sql(f"SELECT {', '.join(made.columns)} FROM ({oracle.oracle_sql()['op7_chat_formatting']})").fetchall()
+    assert sorted((tuple(r) for r in made.collect()), key=str) == sorted(want, key=str)
+
+
 def test_common_prefix_of_arrays(spark):
     df = spark.createDataFrame([([1, None, 3], [1, None, 4]), ([], [1]), ([1, 2], [1, 2])], "a array<int>, b array<int>")
     assert sorted(r[0] for r in df.select(chat.common_prefix(F.col("a"), F.col("b"))).collect()) == [0, 2, 2]

@@ -57,5 +57,52 @@ def test_sketch_error_is_bounded(spark):
         assert 0 <= r.v - r.b <= r.v / 32
 
 
-def test_rates_are_whole_numbers():
-    assert all("div" in v for v in quality.RATES.values())
+def test_small_groups_follow_their_language_by_degrees(spark):
+    """One rule for all sizes: the fence of n like documents beside a language of others moves from the language's to their own."""
+    plain, odd_ones = " ".join(f"w{i}ord" for i in range(60)), " ".join(f"w{i} |" for i in range(60))
+    kept = []
+    for n in (5, 9, 11, 40):
+        rows = [(i, plain, "en", "prose", 1) for i in range(400)] + [(1000 + i, odd_ones, "en", "tables", 1) for i in range(n)]
+        made = quality.judge_quality(spark.createDataFrame(rows, DOCUMENT)).where("doc_id >= 1000").select("kept").distinct().collect()
+        kept.append([r.kept for r in made])
+    assert kept == [[False], [False], [True], [True]]  # a quarter of n + PRIOR documents
+
+
+def test_labelled_documents(spark):
+    """Junk goes and good documents stay, of those that pass the base rules."""
+    folder = "/root/testdata/sf0.01"
+    judged = quality.judge_quality(spark.read.parquet(f"{folder}/documents.parquet")).where("not base_failed")
+    found = judged.join(spark.read.parquet(f"{folder}/labels.parquet"), "doc_id").groupBy("quality").agg({"*": "count", "kept": "min"}).collect()
+    shares = judged.join(spark.read.parquet(f"{folder}/labels.parquet"), "doc_id").selectExpr("quality", "cast(kept as int) as k").groupBy("quality").agg({"k": "avg"}).collect()
+    assert len(found) == 2 and {r.quality: r["avg(k)"] for r in shares} == {0: 0.0, 1: 1.0}
+
+
+def test_texts_are_counted_once(spark, tmp_path):
+    """Rows to keep are counted once, though sketches and fences both need the counts."""
+    log = tmp_path / "counted"
+    log.mkdir()
+    before = quality.count_text
+
+    def counting(text):
+        import uuid
+
+        (log / uuid.uuid4().hex).touch()
+        return before(text)
+
+    import keyweave.llm.quality as module
+
+    counted = module.COUNTS
+    rows = spark.createDataFrame([(i, " ".join(f"w{j}ord" for j in range(60 + i)), "en", "a", 1) for i in range(50)], DOCUMENT)
+    old = module._count
+
+    def _count(texts):
+        import pandas as pd
+
+        return pd.DataFrame([counting(t) for t in texts], columns=[c.split()[0] for c in counted.split(", ")], dtype="int64")
+
+    module._count = _count
+    try:
+        assert module.keep_quality(rows).count() == 50
+    finally:
+        module._count = old
+    assert len(list(log.iterdir())) == 50

@@ -219,5 +219,41 @@ def test_similar_odd_rows(odd, no_documents):
     assert similar_texts(no_documents).count() == 0
 
 
-def test_bounds_are_small():
-    assert simhash.TREE <= 4096
+@pytest.mark.parametrize(("seed", "tree"), [(1, 512), (2, 512), (3, 512), (1, 64)])
+def test_borderline_families(spark, seed, tree, monkeypatch):
+    """400 texts of one family, two or three edits each: most pairs lie around the similarity."""
+    monkeypatch.setattr(simhash, "SIMILAR_TREE", tree)
+    rng, rows = np.random.default_rng(seed), []
+    for i in range(400):
+        words = [f"w{j}" for j in range(120)]
+        for at in rng.choice(120, rng.integers(2, 4), replace=False):
+            words[at] = f"new{i}y{at}"
+        rows.append((i, " ".join(words), "en", "a", 1))
+    made = similar_texts(spark.createDataFrame(rows, DOCUMENT).repartition(3))
+    got, want = sorted((tuple(r) for r in made.collect()), key=str), plain_similar(rows)
+    assert 100 < len({c for _, c in want}) < 390
+    assert [x for x in zip(got, want) if x[0] != x[1]] == []
+
+
+def test_rows_of_a_large_family_grow_in_proportion(spark, tmp_path):
+    """A family that hangs together costs a row for each member and turn, not one for each pair of blocks."""
+    n, log = 4000, str(tmp_path)
+    rng = np.random.default_rng(8)
+    near = {0}
+    while len(near) < n:  # numbers of up to three bits are three steps from zero
+        near.add(sum(1 << int(b) for b in rng.choice(62, 3, replace=False)))
+    members = spark.createDataFrame([(7, v, n) for v in near], "shard long, node long, n long")
+
+    def search(batches):
+        import uuid
+
+        held = list(batches)
+        with open(f"{log}/{uuid.uuid4().hex}", "w") as out:
+            out.write(str(sum(map(len, held))))
+        yield from simhash._search(iter(held), 3)
+
+    links = simhash.link_members(members, None, search, 64)
+    rows = sum(int(open(f"{log}/{f}").read()) for f in __import__("os").listdir(log))
+    joined = plain_components(near)
+    assert len({c.root for c in components(links).collect()}) == len({g for g in joined.values() if len(g) > 1}) == 1
+    assert n <= rows < 12 * n  # the pairs of its 63 blocks would have 64 * n
