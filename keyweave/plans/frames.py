@@ -4,9 +4,8 @@ from __future__ import annotations
 
 import re
 import tempfile
-from itertools import accumulate
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -84,14 +83,12 @@ def broadcast_if_small(df: DataFrame) -> DataFrame:
 def _numbered(df: DataFrame, name: str) -> DataFrame:
     """df, which is checkpointed, with its dense position as it is stored: the count of the partitions before, found by partition, plus the place within."""
     part = F.spark_partition_id().alias("_kw_part")
-    counts = sorted(df.groupBy(part).count().collect())  # one row per partition
-    firsts = list(zip((c[0] for c in counts), accumulate((c[1] for c in counts), initial=0)))
-    if not firsts:
-        return df.withColumn(name, F.lit(0).cast("long"))
+    counts = df.groupBy(part).agg(F.count("*").alias("n"))
+    before = Window.orderBy("_kw_part").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
+    firsts = checkpointed(counts.select("_kw_part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_kw_first")))
     within = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << PLACE_BITS) - 1))
     rows = df.select("*", part, within.alias("_kw_within"))
-    known = F.broadcast(df.sparkSession.createDataFrame(firsts, "_kw_part int, _kw_first long"))
-    return rows.join(known, "_kw_part").withColumn(name, F.col("_kw_first") + F.col("_kw_within")).drop("_kw_part", "_kw_first", "_kw_within")
+    return rows.join(F.broadcast(firsts), "_kw_part").withColumn(name, F.col("_kw_first") + F.col("_kw_within")).drop("_kw_part", "_kw_first", "_kw_within")
 
 
 def _hashable(kind: T.DataType) -> bool:
