@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from keyweave.plans.frames import BROADCAST_BYTES, broadcast_if_small, checkpointed, shared_dir
 
-__all__ = ["BROADCAST_BYTES", "WORD", "ascii_lower", "broadcast_if_small", "checkpointed", "scratch", "shared_path", "small_batches", "written"]
+__all__ = ["BROADCAST_BYTES", "WORD", "ascii_lower", "broadcast_if_small", "checkpointed", "remove_shared", "scratch", "shared_path", "small_batches", "written"]
 
 #: Word characters are all but the six ASCII spaces.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -31,6 +31,11 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+def remove_shared(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
     """Removes the shared paths made inside at its end, by when results that read them must have been written or checkpointed."""
@@ -39,8 +44,7 @@ def scratch(spark: SparkSession) -> Iterator[None]:
         yield
     finally:
         for path in _made.pop():
-            where = spark._jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+            remove_shared(spark, path)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

@@ -18,13 +18,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from keyweave.llm._common import broadcast_if_small, checkpointed, small_batches
+from keyweave.llm._common import checkpointed, small_batches
 
 #: Bits of the hashed presence vector for n-grams of length 1, 2, 3.
 BITS = (10, 13, 14)
 OFFSETS = np.cumsum([0, *(1 << b for b in BITS)])
-#: Bounds of the fit: rows per language, rows in all, landmarks in all. Scoring has none.
-ROWS_EACH, MOST_ROWS, LANDMARKS = 200, 2000, 256
+#: Bounds of the fit: rows per language, rows in all, landmarks in all, languages. Scoring has none. The model has 100 KB for each language.
+ROWS_EACH, MOST_ROWS, LANDMARKS, LANGUAGES = 200, 2000, 256, 256
 RIDGE = 1e-3
 #: Texts in one matrix product.
 BATCH = 64
@@ -124,17 +124,17 @@ def remainder(key: str) -> Column:
 def fit(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> Model:
     """Learns from texts with a language outside the held-out fold: of each language those with the least hashes.
 
-    At most ROWS_EACH texts of a language and MOST_ROWS in all reach the driver, as bits of 3.2 KB;
-    the number of rows in df doesn't matter.
+    At most ROWS_EACH texts of a language and MOST_ROWS in all reach the driver, as bits of 3.2 KB; only the LANGUAGES
+    languages with most texts (ties by name) are learned. The number of rows in df doesn't matter.
     """
     rows = df.where((remainder(key) != 2) & F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}"))
     rows = rows.select(F.col(lang).cast("string").alias("lang"), F.xxhash64(F.col(key).cast("string"), F.col(text)).alias("hash"), F.col(text).alias("text"))
     keys = checkpointed(rows.select("lang", "hash").distinct())
-    counts = checkpointed(keys.groupBy("lang").agg(F.count("*").alias("n")))
-    each = max(1, min(ROWS_EACH, MOST_ROWS // max(1, counts.count())))
+    counts = checkpointed(keys.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES))
+    each = min(ROWS_EACH, MOST_ROWS // max(1, counts.count()))
     # About four times as many as wanted have a hash low enough; only these are ranked, however many a language has.
     low = F.pmod("hash", F.lit(1 << 30)) < F.lit(4.0 * each * (1 << 30)) / F.col("n")
-    near = keys.join(broadcast_if_small(counts), "lang").where(low)
+    near = keys.join(F.broadcast(counts), "lang").where(low)  # LANGUAGES rows at most
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.pmod("hash", F.lit(1 << 30)), "hash"))
     wanted = near.withColumn("rank", rank).where(F.col("rank") <= each).select("lang", "hash")
     wanted = checkpointed(wanted)
@@ -148,9 +148,10 @@ def fit(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lan
             out.append(np.packbits(bits).tobytes())
         return pd.Series(out)
 
-    chosen = rows.join(F.broadcast(wanted), ["lang", "hash"])  # MOST_ROWS or a row per language
+    chosen = rows.join(F.broadcast(wanted), ["lang", "hash"])  # MOST_ROWS at most
     found = chosen.groupBy("lang", "hash").agg(F.first("text").alias("text")).select("lang", "hash", F.pandas_udf(pack, "binary")("text").alias("bits"))
-    sample = sorted(found.collect(), key=lambda r: (r.lang, r.hash))
+    with small_batches(df.sparkSession):
+        sample = sorted(found.collect(), key=lambda r: (r.lang, r.hash))
     bits = np.unpackbits(np.frombuffer(b"".join(bytes(r.bits) for r in sample), np.uint8).reshape(len(sample), -1), axis=1, count=int(OFFSETS[-1])) if sample else np.zeros((0, OFFSETS[-1]), np.uint8)
     return solve(bits, [r.lang for r in sample])
 

@@ -3,17 +3,20 @@
 Of all document rates that take each source's target of words and none above a cap, the ones
 closest to the base rates in (word-weighted) relative entropy are tilted exponentially:
 rate = min(cap, base * exp(lambda of the source)). The lambdas solve the convex dual; each Newton
-iteration is one aggregation over cells of equal source and base rate. Rates are then rounded to
+iteration is one aggregation over cells of equal source and base rate, of which there are few. Rates are then rounded to
 copies: a document's fixed hash decides the fraction, against a threshold per source at which the
 taken words meet the target. Only DataFrame operations; texts are never shuffled.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from keyweave.llm._common import WORD, broadcast_if_small, checkpointed
+from keyweave.plans.frames import with_position
 
 #: Histogram cells of the rounding threshold between 0 and 1, and how often a cell is cut again.
 CELLS, LEVELS = 512, 2
@@ -31,23 +34,37 @@ def draw_of(key: str, text: str) -> Column:
     return F.shiftrightunsigned(F.xxhash64(F.col(key).cast("string"), F.col(text)), 11) / F.lit(float(1 << 53))
 
 
+def length_preference(size: Column) -> Column:
+    """Base rates by length: 1 for documents of 256 to 511 words, and with each doubling away from these the next of 4/5, 4/6, 4/7 ...
+
+    Whole powers of two tell the lengths apart, so a source has 64 different base rates at most.
+    """
+    power = F.length(F.bin(F.greatest(size, F.lit(1)))) - 1
+    return 4 / (4 + F.abs(power - 8)).cast("double")
+
+
 def source_targets(sizes: DataFrame, weights: tuple[float, ...], share: float, cap: float) -> DataFrame:
     """source, source_size -> with target: weights repeat over the sources by code point, null last.
 
     Targets are min(cap * size, weight * level), the level being such that they add up to share of
-    all sizes: what a capped source can't take goes to the others by weight. The windows run over
-    one row per source.
+    all sizes: what a capped source can't take goes to the others by weight. The level is found by rounds: it is what is left
+    for the sources not capped yet, over their weights; it only rises, and with it the capped ones, until none is added. Each
+    round adds up a row per source; sources are numbered by a range sort, so there may be many.
     """
-    everything = Window.partitionBy(F.lit(0))
-    by_name = everything.orderBy(F.col("source").asc_nulls_last())
     kinds = F.array(*[F.lit(float(w)) for w in weights])
-    rows = sizes.withColumn("weight", F.element_at(kinds, (F.row_number().over(by_name) - 1) % len(weights) + 1)).withColumn("most", F.col("source_size") * F.lit(float(cap)))
-    fill = everything.orderBy(F.col("most") / F.col("weight"), F.col("source").asc_nulls_last())
-    total = F.sum("source_size").over(everything) * F.lit(float(min(share, cap)))
-    capped = F.coalesce(F.sum("most").over(fill.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    left = F.sum("weight").over(fill.rowsBetween(0, Window.unboundedFollowing))
-    rows = rows.withColumn("level", (total - capped) / left)
-    return rows.withColumn("target", F.least("most", F.col("weight") * F.max("level").over(everything))).select("source", "source_size", "target")
+    rows = with_position(sizes, "at", F.col("source").asc_nulls_last())
+    rows = rows.withColumn("weight", F.element_at(kinds, (F.col("at") % len(weights) + 1).cast("int"))).withColumn("most", F.col("source_size") * F.lit(float(cap)))
+    rows = checkpointed(rows.drop("at"))
+    total = (rows.agg(F.sum("source_size").alias("n")).first().n or 0) * float(min(share, cap))
+    level, capped = 0.0, -1
+    while True:
+        full = F.col("most") <= F.col("weight") * F.lit(level)
+        sums = rows.agg(F.count_if(full).alias("n"), F.coalesce(F.sum(F.when(full, F.col("most"))), F.lit(0.0)).alias("most"), F.sum(F.when(~full, F.col("weight"))).alias("weight")).first()
+        if sums.n == capped or not sums.weight:
+            break
+        level, capped = (total - sums.most) / sums.weight, sums.n
+    target = F.least("most", F.col("weight") * F.lit(level)) if sums.weight else F.col("most")
+    return rows.withColumn("target", target).select("source", "source_size", "target")
 
 
 def solve(cells: DataFrame, targets: DataFrame, cap: float) -> DataFrame:
@@ -139,13 +156,19 @@ def _with_copies(rows: DataFrame, plan: DataFrame, cap: float) -> DataFrame:
     return _rated(rows, broadcast_if_small(plan), cap).withColumn("_kw_copies", F.col("_kw_whole") + below)
 
 
-def _inputs(df: DataFrame, key: str, text: str, source: str, base: str | None) -> dict[str, Column]:
-    rate = F.lit(1.0) if base is None else F.greatest(F.coalesce(F.col(base).cast("double"), F.lit(1.0)), F.lit(1e-300))
-    return {"_kw_source": F.col(source).cast("string"), "_kw_base": rate, "_kw_draw": draw_of(key, text), "_kw_size": words_of(text)}
+Base = str | Callable[[Column], Column] | None
+
+
+def _inputs(df: DataFrame, key: str, text: str, source: str, base: Base) -> DataFrame:
+    """df's columns in the struct _kw_row, and _kw_key, _kw_source, _kw_draw, _kw_size, _kw_base."""
+    given = F.col(base) if isinstance(base, str) else F.lit(None)
+    rows = df.select(F.struct(*df.columns).alias("_kw_row"), F.col(key).alias("_kw_key"), F.col(source).cast("string").alias("_kw_source"), draw_of(key, text).alias("_kw_draw"), words_of(text).alias("_kw_size"), given.cast("double").alias("_kw_base"))
+    rate = base(F.col("_kw_size")) if callable(base) else F.col("_kw_base")
+    return rows.withColumn("_kw_base", F.greatest(F.coalesce(rate, F.lit(1.0)), F.lit(1e-300)))
 
 
 def mix_documents(
-    df: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, cap: float = 2.0, key: str = "doc_id", text: str = "text", source: str = "source", base: str | None = None
+    df: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, cap: float = 2.0, key: str = "doc_id", text: str = "text", source: str = "source", base: Base = length_preference
 ) -> DataFrame:
     """One row per row of df: doc_id, size, source_size, target, taken (whole copies times size), copies.
 
@@ -153,12 +176,13 @@ def mix_documents(
     all words; no source's target exceeds cap times its words. A document is taken floor or ceiling
     of its rate times, at most cap times. Each source's taken words meet its target up to half of
     its largest document (of all rows with equal key and text, if such repeat). base names a column
-    of rates before tilting (null: 1). Reruns over the same rows agree, however these are stored.
+    of rates before tilting (null: 1), or makes them from the size, like length_preference; with None all are 1. Documents of
+    one source keep the ratio of their base rates, but for the cap. Reruns over the same rows agree, however these are stored.
 
     Null and empty texts have size 0 and never change a sum; a null source is one source. Repeated
     rows are taken alike. A source without words has target 0. An empty table gives an empty result.
     """
-    rows = checkpointed(df.select(F.col(key).alias("_kw_key"), *[c.alias(n) for n, c in _inputs(df, key, text, source, base).items()]))
+    rows = checkpointed(_inputs(df, key, text, source, base).drop("_kw_row"))
     plan = plan_mix(rows, weights, share, cap)
     return _with_copies(rows, plan, cap).select(
         F.col("_kw_key").alias("doc_id"), F.col("_kw_size").alias("size"), F.col("_kw_source_size").alias("source_size"), F.col("_kw_target").alias("target"),
@@ -167,11 +191,10 @@ def mix_documents(
 
 
 def repeat_documents(
-    df: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, cap: float = 2.0, key: str = "doc_id", text: str = "text", source: str = "source", base: str | None = None
+    df: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, cap: float = 2.0, key: str = "doc_id", text: str = "text", source: str = "source", base: Base = length_preference
 ) -> DataFrame:
     """The rows of df with all columns, each as often as mix_documents takes it; documents without words have their rate too."""
-    inputs = _inputs(df, key, text, source, base)
-    plan = plan_mix(checkpointed(df.select(*[c.alias(n) for n, c in inputs.items()])), weights, share, cap)
-    rows = df.select(F.struct(*df.columns).alias("_kw_row"), *[c.alias(n) for n, c in inputs.items()])
+    rows = _inputs(df, key, text, source, base)
+    plan = plan_mix(checkpointed(rows.drop("_kw_row", "_kw_key")), weights, share, cap)
     copies = _with_copies(rows, plan, cap).select("_kw_row", F.explode(F.array_repeat(F.lit(0), F.col("_kw_copies").cast("int"))))
     return copies.select("_kw_row.*")

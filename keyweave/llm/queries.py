@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keyweave.llm import ann, byte_bpe, chat, langid, mixing, quality, sharding, simhash, url_filter, warc
+from keyweave.llm._common import checkpointed, scratch
 
 URL_RULES = (
     url_filter.Rule("block", "net/"),
@@ -49,8 +50,9 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    read = warc.archive_and_read(_table(spark, sf_dir, "pages"), min_bytes=0)
-    return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    with scratch(spark):  # the archive goes when all of it has been read back
+        read = warc.archive_and_read(_table(spark, sf_dir, "pages"), min_bytes=0)
+        return checkpointed(read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"))
 
 
 def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -38,6 +38,8 @@ LINES = 512
 FILE_BYTES = 1 << 30
 #: Compressed bytes that a task reads back.
 READ_BYTES = 64 << 20
+#: The most files of one index, whose first keys go to every task that looks something up.
+INDEX_FILES = 4096
 NO_ID = -(1 << 63)
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -155,9 +157,10 @@ def write_archive(df: DataFrame, folder: str, key: str = "page_id", url: str = "
 
 
 def write_index(captures: DataFrame, folder: str) -> DataFrame:
-    """Writes the index of captures; returns its files in order: file, first_key, first_id. One row per task that wrote."""
+    """Writes the index of captures; returns its files in order: file, first_key, first_id. One row per task that wrote, INDEX_FILES at most."""
     order = ("url_key", "id", "file", "offset")
-    rows = captures.select("url_key", F.coalesce("page_id", F.lit(NO_ID)).alias("id"), "file", "offset", "length").repartitionByRange(*order).sortWithinPartitions(*order)
+    parts = min(INDEX_FILES, int(captures.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    rows = captures.select("url_key", F.coalesce("page_id", F.lit(NO_ID)).alias("id"), "file", "offset", "length").repartitionByRange(parts, *order).sortWithinPartitions(*order)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = store(folder)
@@ -250,7 +253,7 @@ def lookup(requests: DataFrame, archive: str, index: str, files: DataFrame, task
 
     Without the column page_id all captures of the key come; a null page_id means the capture that
     has none. Equal requests are asked once. Requests are sorted as the index is, so a task reads few
-    blocks. The list of index files, a row per task that wrote the index, goes to every task. tasks says
+    blocks. The list of index files, INDEX_FILES at most, goes to every task. tasks says
     how many share the reading, whose bytes the planner doesn't see; by default it decides itself.
     """
     known = sorted(((f.file, f.first_key, f.first_id) for f in files.collect()), key=lambda f: _order(*f[1:]))
@@ -281,7 +284,10 @@ def lookup(requests: DataFrame, archive: str, index: str, files: DataFrame, task
 
 
 def archive_and_read(df: DataFrame, key: str = "page_id", url: str = "url", payload: str = "html", min_bytes: int = 0) -> DataFrame:
-    """Writes df to a new archive in the shared folder, indexes it, and reads every capture back by its key."""
+    """Writes df to a new archive in the shared folder, indexes it, and reads every capture back by its key.
+
+    The records are read when they are asked for, so the archive stays; inside scratch(...) it goes at its end.
+    """
     folder = shared_path(df.sparkSession, "warc")
     captures = write_archive(df, f"{folder}/archive", key, url, payload, min_bytes)
     files = write_index(captures, f"{folder}/index")

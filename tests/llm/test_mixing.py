@@ -59,6 +59,30 @@ def test_odd_rows(odd, no_documents):
     assert mixing.mix_documents(no_documents).count() == mixing.repeat_documents(no_documents).count() == 0
 
 
+def test_documents_of_a_source_are_tilted_by_length(spark):
+    """Rates against a bisection of each source's dual over all its documents."""
+    rows = [(i, "w " * (3 + (i * 7919) % 1500), "en", f"s{i % 4}", 1) for i in range(600)]
+    sizes = {r[0]: len(r[1].split()) for r in rows}
+    of = {r[0]: r[3] for r in rows}
+    base = {k: 4 / (4 + abs(n.bit_length() - 1 - 8)) for k, n in sizes.items()}
+    totals = defaultdict(int)
+    for k, n in sizes.items():
+        totals[of[k]] += n
+    target, rate = plain_targets(totals), {}
+    for source in totals:
+        low, high, own = -50.0, 50.0, [k for k in sizes if of[k] == source]
+        for _ in range(200):
+            middle = (low + high) / 2
+            takes = sum(sizes[k] * min(2.0, base[k] * math.exp(middle)) for k in own)
+            low, high = (middle, high) if takes < target[source] else (low, middle)
+        rate |= {k: min(2.0, base[k] * math.exp(low)) for k in own}
+    made = mixing.mix_documents(spark.createDataFrame(rows, DOCUMENT)).collect()
+    assert all(math.floor(rate[r.doc_id] + 1e-6) >= r.copies - 1 and r.copies >= math.floor(rate[r.doc_id] - 1e-6) for r in made)
+    source = next(s for s in totals if target[s] < 1.5 * totals[s])
+    assert len({round(rate[k], 6) for k in sizes if of[k] == source}) > 5
+    checked(rows, made)
+
+
 def test_hot_source_and_repeats(spark):
     rows = [(i, "a b c " * (1 + i % 5), "en", "hot" if i % 3 == 0 else f"s{i % 17}", 1) for i in range(900)] + [(5000, "x y z", "en", "s1", 1)] * 20
     df = with_extra(spark.createDataFrame(rows, DOCUMENT))
