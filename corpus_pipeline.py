@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from contextlib import ExitStack
 
 from pyspark.sql import DataFrame, SparkSession
 
 from keyweave.llm import langid, mixing, quality, simhash
+from keyweave.llm._common import remove_shared, scratch, shared_path
 from keyweave.llm.queries import byte_bpe_digests
 
 
@@ -48,7 +50,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    """The last stage's rows. Each stage's result is written once to the shared folder, from where the next one reads it; then it goes."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
+    for name, stage in STAGES:
+        path, after = shared_path(spark, name), ExitStack()
+        if before:
+            after.callback(remove_shared, spark, before)
+        with after, scratch(spark):
+            made = stage(spark, docs, sf_dir)
+            made.write.parquet(path)
+        docs, before = spark.read.schema(made.schema).parquet(path), path
     return docs
