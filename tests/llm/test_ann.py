@@ -82,6 +82,34 @@ def test_copies_in_a_third_of_the_rows(spark):
         assert [v for v, _ in found] == [i for i in range(0, 18, 3) if i != q][:5] and all(s == 1.0 for _, s in found)
 
 
+def test_multiples_tie(spark):
+    """Vectors that are multiples of each other score alike, whatever their lengths, so the smaller key comes first."""
+    rng, data = np.random.default_rng(2), []
+    for i in range(40):
+        v = rng.integers(-9, 10, 16).astype(float)
+        data += [(10 * i + j, (v * m).tolist(), 1) for j, m in enumerate((3, 1, 7, 5, 11))]
+    made = ann.nearest(spark.createDataFrame(data, "vec_id long, embedding array<double>, label int"), F.col("id") % 10 == 4)
+    got = {}
+    for r in made.collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    assert len(got) == 40
+    for q, found in got.items():
+        assert [v for _, v, _ in sorted(found)][:4] == [q - 4, q - 3, q - 2, q - 1] and {s for _, _, s in sorted(found)[:4]} == {1.0}
+    a, b = rng.integers(-99, 99, 64).tolist(), rng.integers(-99, 99, 64).tolist()
+    assert len({ann.exact_cosine(a, [m * x for x in b]) for m in range(1, 200)}) == 1
+    assert math.isclose(ann.exact_cosine(a, b), np.dot(a, b) / math.sqrt(np.dot(a, a) * np.dot(b, b)), rel_tol=1e-15)
+
+
+def test_few_vectors_are_fetched_for_a_query(spark, monkeypatch):
+    """Beyond the codes, a query meets REFINE vectors, however wide the windows."""
+    rng = np.random.default_rng(3)
+    data = [(i, rng.normal(size=24).tolist(), 1) for i in range(1500)]
+    whole, x = ann.nearest(spark.createDataFrame(data, VECTOR), F.col("id") % 50 == 0).collect(), np.array([v for _, v, _ in data], np.float32).astype(float)
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    hits = sum(r.vec_id in np.argsort(-(x @ x[r.query_id]))[1:6] for r in whole)
+    assert ann.REFINE <= 0.05 * len(data) and hits >= 0.9 * 5 * 30
+
+
 @pytest.mark.parametrize(("dims", "bits"), [(2, 4), (3, 3), (8, 2)])
 def test_curve_visits_neighbours(dims, bits):
     cells = np.stack(np.meshgrid(*[np.arange(1 << bits)] * dims, indexing="ij"), axis=-1).reshape(-1, dims)

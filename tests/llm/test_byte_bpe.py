@@ -3,6 +3,7 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 import pytest
+import regex
 import tiktoken
 
 import public_tokenizers
@@ -57,6 +58,36 @@ def test_odd_rows(odd, no_documents, ranks, library, small, monkeypatch):
     assert byte_bpe.encode(no_documents, ranks, public_tokenizers.PATTERN).count() == 0
 
 
+def plain_merge(word: bytes, ranks) -> list[int]:
+    """Byte-pair merges by the book: of all neighbours the pair of least rank becomes one, the first of equals, until none has a rank."""
+    parts = [bytes([b]) for b in word]
+    while len(parts) > 1:
+        pairs = [(ranks[a + b], i) for i, (a, b) in enumerate(zip(parts, parts[1:])) if a + b in ranks]
+        if not pairs:
+            break
+        at = min(pairs)[1]
+        parts[at : at + 2] = [parts[at] + parts[at + 1]]
+    return [ranks[p] for p in parts]
+
+
+def test_against_plain_merges(spark, document_rows, ranks):
+    """Ids by an own splitter and merge loop, without any tokenizer library."""
+    odd = ["\u00c9t\u00e9 \U0001f600\u00a0x", "aaaaaaaaaaaaaaaaaaaaaaa", "\n\n  x\t\t", "it's don't I'LL", "1234567 3.14", "\u4e2d\u6587 \u0e44\u0e17\u0e22", "x" * 300]
+    texts = [(r.doc_id, r.text) for r in document_rows[:60] if r.text] + [(-1 - i, t) for i, t in enumerate(odd)]
+    known: dict[str, list[int]] = {}
+
+    def ids(text):
+        out = []
+        for word in regex.findall(public_tokenizers.PATTERN, text):
+            if word not in known:
+                known[word] = plain_merge(word.encode(), ranks)
+            out += known[word]
+        return out
+
+    made = byte_bpe.encode(spark.createDataFrame(texts, "doc_id long, text string"), ranks, public_tokenizers.PATTERN, parts=3)
+    assert {r.doc_id: list(r.ids) for r in made.collect()} == {k: ids(t) for k, t in texts}
+
+
 def test_block_in_small_pieces(monkeypatch):
     monkeypatch.setattr(byte_bpe, "CHUNK", 3)
     schema = pa.schema([("kind", pa.int32()), ("block", pa.int64()), ("place", pa.int64()), ("keys", pa.list_(pa.int64())), ("sizes", pa.binary()), ("payload", pa.binary()), ("numbers", pa.binary())])

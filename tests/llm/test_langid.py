@@ -64,6 +64,40 @@ def test_batches_and_kernel_products_agree(document_rows):
     assert np.allclose(x @ x.T, [[kernel(a, b) for b in sets[:6]] for a in sets[:6]], atol=1e-5)
 
 
+def plain_grams(text):
+    """Sets of character n-grams of length 1 to 3; letters in lower case, other runs and both ends one space."""
+    kept = " " + "".join(c if c.isalpha() else " " for c in text.lower()) + " "
+    while "  " in kept:
+        kept = kept.replace("  ", " ")
+    return [{kept[i : i + n] for i in range(len(kept) - n + 1)} for n in (1, 2, 3)]
+
+
+def test_against_a_plain_kernel_ridge(document_rows):
+    """Predictions of kernel ridge regression written out with sets of n-grams, unhashed, with all training texts as landmarks."""
+    rows = [r for r in document_rows if r.text and any(c.isalpha() for c in r.text)]
+    train, tested = [r for r in rows if zlib.crc32(str(r.doc_id).encode()) % 4 != 2][:100], [r for r in rows if zlib.crc32(str(r.doc_id).encode()) % 4 == 2][:40]
+    grams = {r.doc_id: plain_grams(r.text) for r in train + tested}
+    kernel = lambda a, b: sum(len(x & y) / np.sqrt(len(x) * len(y)) for x, y in zip(grams[a.doc_id], grams[b.doc_id])) / 3
+    names = sorted({r.lang for r in train})
+    y = np.array([[1.0 if r.lang == n else -1.0 for n in names] for r in train])
+    inner = np.array([[kernel(a, b) for b in train] for a in train])
+    alpha = np.linalg.solve(inner + langid.RIDGE * len(train) * np.eye(len(train)), y)
+    outputs = np.array([[kernel(a, b) for b in train] for a in tested]) @ alpha
+    bits = np.zeros((len(train), langid.OFFSETS[-1]), np.uint8)
+    for i, r in enumerate(train):
+        bits[i, langid._places(r.text)] = 1
+    model = langid.solve(bits, [r.lang for r in train], landmarks=len(train))
+    got, scores = model.score([r.text for r in tested])
+    assert got == [names[i] for i in outputs.argmax(axis=1)]
+    assert np.abs(scores - np.clip((1 + outputs.max(axis=1)) / 2, 0, 1)).max() < 0.05  # hashing lets a few n-grams meet
+
+
+def test_languages_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(langid, "LANGUAGES", 3)
+    df = spark.createDataFrame([(i, f"word{i} some text", f"l{i % 6 if i < 60 else i % 2}") for i in range(200)], "doc_id long, text string, lang string")
+    assert langid.fit(df).langs == ("l0", "l1", "l2")
+
+
 def test_hot_language_sample_is_bounded(spark):
     df = spark.range(5000).select(F.col("id").alias("doc_id"), F.concat(F.lit("word "), F.col("id").cast("string")).alias("text"), F.when(F.col("id") < 4900, "en").otherwise("fr").alias("lang"))
     model = langid.fit(df)
