@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from keyweave.plans.frames import BROADCAST_BYTES, broadcast_if_small, checkpointed, shared_dir
 
-__all__ = ["BROADCAST_BYTES", "WORD", "ascii_lower", "broadcast_if_small", "checkpointed", "remove_shared", "scratch", "shared_path", "small_batches", "written"]
+__all__ = ["BROADCAST_BYTES", "WORD", "ascii_lower", "broadcast_if_small", "checkpointed", "release_memory", "remove_shared", "scratch", "shared_path", "small_batches"]
 
 #: Word characters are all but the six ASCII spaces.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -47,11 +49,12 @@ def scratch(spark: SparkSession) -> Iterator[None]:
             remove_shared(spark, path)
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df computed once and written as Parquet in the shared folder: of its columns only those that are asked for are read again."""
-    path = shared_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def release_memory() -> None:
+    """Gives freed buffers back to the system. For workers that have just let go of a block of texts: they live on after a task, and would keep it beside the next."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
 
 
 def ascii_lower(column):

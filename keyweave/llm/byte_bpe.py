@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StringType, StructField, StructType
 
-from keyweave.llm._common import checkpointed, small_batches
+from keyweave.llm._common import checkpointed, release_memory, small_batches
 
 #: A block is closed after this many characters of text.
 BLOCK_CHARS = 32 << 20
@@ -170,8 +170,11 @@ def _splitter(pattern: str, parts: int):
                     yield from block.rows()
                     number += 1
                     block = _Block(number, parts, schema)
+                    release_memory()
         if block is not None and block.keys:
             yield from block.rows()
+        block = batch = None
+        release_memory()
 
     return split
 
@@ -224,6 +227,7 @@ def encode(df: DataFrame, ranks: dict[bytes, int], pattern: str, key: str = "doc
     texts = made.where("kind = 1").select("block", "place", "keys", "sizes", "payload")
 
     def reassemble(texts: pa.Table, words: pa.Table) -> pa.Table:
+        release_memory()
         sizes = np.zeros(0, np.int64)
         numbers = [np.cumsum(unpack(x), dtype=np.int64) for x in words.column("numbers").to_pylist()]
         counts, ids = [unpack(x) for x in words.column("sizes").to_pylist()], [unpack_ids(x) for x in words.column("ids").to_pylist()]

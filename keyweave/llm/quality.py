@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from keyweave.llm._common import broadcast_if_small, checkpointed, small_batches, written
+from keyweave.llm._common import broadcast_if_small, checkpointed, small_batches
 
 SPACES = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
@@ -163,10 +163,15 @@ def judge_quality(df: DataFrame, key: str = "doc_id", text: str = "text", lang:
 def keep_quality(df: DataFrame, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
     """The rows of df that judge_quality keeps, with all their columns.
 
-    Texts are counted once: rows and counts are written to the shared folder as Parquet, of which the
-    sketches read the counts only. No text is shuffled.
+    Texts are counted once; their counts and two hashes of the text are kept. Rows of equal text, language and
+    source have one fate, so the rejected ones are joined back by hash, as an anti join: texts are not shuffled while these are few.
     """
+    hashes = {"h1": F.xxhash64(F.col(text)), "h2": F.xxhash64(F.lit(2), F.col(text))}
     with small_batches(df.sparkSession):
-        rows = written(_counted(df, {"row": F.struct(*df.columns)}, text, lang, source), "counted")
+        rows = checkpointed(_counted(df, hashes, text, lang, source))
     limits = broadcast_if_small(checkpointed(fences(rows)))
-    return _judged(rows, limits).where("kept").select("row.*")
+    gone = _judged(rows, limits).where("not kept").groupBy("h1", "h2", F.col("lang").alias("_kw_lang"), F.col("source").alias("_kw_source")).agg(F.count("*").alias("n"))
+    gone = broadcast_if_small(checkpointed(gone.select(F.col("h1").alias("_kw_h1"), F.col("h2").alias("_kw_h2"), "_kw_lang", "_kw_source")))
+    same = (hashes["h1"] == F.col("_kw_h1")) & (hashes["h2"] == F.col("_kw_h2"))
+    same &= F.col(lang).cast("string").eqNullSafe(F.col("_kw_lang")) & F.col(source).cast("string").eqNullSafe(F.col("_kw_source"))
+    return df.join(gone, same, "left_anti")

@@ -12,7 +12,7 @@ By similarity (similar_texts): texts whose sets of word shingles have a Jaccard
 differ in some 10 bits, too many for bands. There the shards are made of texts that share two
 minima of their shingles' hashes, in any of TABLES pairs; each shard's tree is asked with SIMILAR_RADIUS,
 a signature of 128 minima thins out what it finds, and the sets of shingles decide in the same task. Shards with
-the same members are one.
+the same members are one. Three pairs come first; of the other pairs' shards only those follow whose members are not one group by then.
 
 Large shards: a tree holds TREE (or SIMILAR_TREE) members, so a larger shard is cut into blocks by hash, each a
 task. What is linked within blocks is one group from then on; one member of each group, dealt into blocks
@@ -198,10 +198,10 @@ def _blocks(n, block: int):
     return F.greatest(F.ceil(n / block), F.lit(1))
 
 
-def link_members(members: DataFrame, payload: DataFrame | None, search: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], block: int) -> DataFrame:
-    """Links a, b that connect the nodes as the links of all pairs in any shard would.
+def link_members(members: DataFrame, payload: DataFrame | None, search: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], block: int, known: DataFrame | None = None) -> DataFrame:
+    """Links a, b that connect the nodes as the links of all pairs in any shard would, known ones included.
 
-    members: shard, node, n (the shard's members; null: few). payload: node and what search gets of it after task, in_tree, same,
+    members: shard, node, n (the shard's members; null: few), and label, equal for nodes that known connects, if known is given. payload: node and what search gets of it after task, in_tree, same,
     label, node. search solves a task of about block rows, or of two blocks that meet.
     """
     parts = _many(members)
@@ -217,8 +217,9 @@ def link_members(members: DataFrame, payload: DataFrame | None, search: Callable
         at = F.pmod(F.xxhash64("node", F.lit(turn)), _blocks(n, block))
         return rows.select(F.xxhash64("shard", at).alias("task"), F.lit(True).alias("in_tree"), F.lit(True).alias("same"), "label", "node")
 
-    links = solved(dealt(members.withColumn("label", F.col("node")), F.coalesce("n", F.lit(1)), 0))
-    large = checkpointed(members.where(F.col("n") > block))
+    links = solved(dealt(members if known is not None else members.withColumn("label", F.col("node")), F.coalesce("n", F.lit(1)), 0))
+    links = links if known is None else checkpointed(known.unionAll(links))
+    large = checkpointed(members.where(F.col("n") > block).select("shard", "node", "n"))
     if large.isEmpty():
         return links
     before = None
@@ -314,6 +315,8 @@ MINIMA, TABLES, SIMILAR_RADIUS = 128, 16, 32
 SLACK = 0.22
 #: The most sets of shingles in one tree.
 SIMILAR_TREE = 512
+#: Pairs of minima whose shards are solved first; of the others' shards only those follow whose members are not yet one group.
+FIRST_TABLES = 3
 
 _RANDOM = np.random.default_rng(42)
 _MULTIPLY = _RANDOM.integers(0, 1 << 63, MINIMA, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -410,16 +413,31 @@ def _texts_of(df: DataFrame, text: str, some: DataFrame) -> DataFrame:
 
 def link_similar(nodes: DataFrame, df: DataFrame, text: str, words_each: int, similarity: float, tree: int | None = None) -> DataFrame:
     """Links a, b that connect similar nodes (node, hash, fp, keys, minima), whose texts are in df."""
-    rows = nodes.select("node", F.explode(F.array_distinct("keys")).alias("shard"))
-    # Near copies share many shards; of those with the same members one will do, told by their number and two hashes of all.
-    marks = [F.bit_xor(F.xxhash64("node", F.lit(i))).alias(f"x{i}") for i in range(2)]
-    shards = rows.groupBy("shard").agg(F.count("*").alias("n"), *marks).where("n > 1")
-    shards = checkpointed(shards.groupBy("n", "x0", "x1").agg(F.min("shard").alias("shard")).select("shard", "n"))
-    members = checkpointed(rows.join(broadcast_if_small(shards), "shard").select("shard", "node", "n"))
-    several = checkpointed(members.select("node").distinct().join(nodes.select("node", "hash"), "node"))
-    sets = _texts_of(df, text, several).select("node", _shingle_bytes(words_each)("text").alias("shingles"))
-    payload = checkpointed(nodes.select("node", "fp", "minima").join(sets, "node"))
-    return link_members(members, payload, lambda batches: _search_similar(batches, similarity), tree or SIMILAR_TREE)
+    rows = nodes.select("node", F.posexplode("keys").alias("table", "key"))
+    rows = rows.select("node", "table", F.xxhash64("table", "key").alias("shard"))
+
+    def members(rows: DataFrame, label) -> DataFrame:
+        """shard, node, n, label of shards with several groups. Near copies share many shards; of those with the same members one will do, told by their number and two hashes of all."""
+        marks = [F.bit_xor(F.xxhash64("node", F.lit(i))).alias(f"x{i}") for i in range(2)]
+        rows = rows.withColumn("label", label)
+        shards = rows.groupBy("shard").agg(F.count("*").alias("n"), *marks, F.min("label").alias("low"), F.max("label").alias("high")).where("low < high")
+        shards = checkpointed(shards.groupBy("n", "x0", "x1").agg(F.min("shard").alias("shard")).select("shard", "n"))
+        return checkpointed(rows.join(broadcast_if_small(shards), "shard").select("shard", "node", "n", "label"))
+
+    def with_sets(members: DataFrame) -> DataFrame:
+        several = checkpointed(members.select("node").distinct().join(nodes.select("node", "hash"), "node"))
+        sets = _texts_of(df, text, several).select("node", _shingle_bytes(words_each)("text").alias("shingles"))
+        return checkpointed(nodes.select("node", "fp", "minima").join(sets, "node"))
+
+    search, tree = lambda batches: _search_similar(batches, similarity), tree or SIMILAR_TREE
+    first = members(rows.where(F.col("table") < FIRST_TABLES), F.col("node"))
+    links = checkpointed(link_members(first.drop("label"), with_sets(first), search, tree))
+    named = checkpointed(components(links)).withColumnRenamed("node", "_kw_node")
+    rest = rows.where(F.col("table") >= FIRST_TABLES).join(broadcast_if_small(named), F.col("node") == F.col("_kw_node"), "left")
+    rest = members(rest, F.coalesce("root", "node")).select("shard", "node", "n", "label")
+    if rest.isEmpty():
+        return links
+    return link_members(rest, with_sets(rest), search, tree, links)
 
 
 def _grouped_by_similarity(df: DataFrame, key: str, text: str, words_each: int, similarity: float) -> DataFrame:
