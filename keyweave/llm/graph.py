@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keyweave.llm._common import broadcast_if_small, checkpointed
+from keyweave.llm._common import checkpointed
 
 
 def _toward_least(edges: DataFrame, larger_only: bool) -> DataFrame:
@@ -21,7 +21,7 @@ def _toward_least(edges: DataFrame, larger_only: bool) -> DataFrame:
         pairs = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
     least = checkpointed(pairs.groupBy("u").agg(F.least("u", F.min("v")).alias("m")))
     moved = pairs.where("v > u") if larger_only else pairs
-    out = moved.join(broadcast_if_small(least), "u").select(F.col("v").alias("a"), F.col("m").alias("b"))
+    out = moved.join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b"))
     if not larger_only:
         out = out.unionByName(least.select(F.col("u").alias("a"), F.col("m").alias("b")))
     return out.where("a != b").distinct()
