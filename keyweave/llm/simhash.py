@@ -11,8 +11,10 @@ all executors. Links leave a task as a spanning forest, at most one per fingerpr
 By similarity (similar_texts): texts whose sets of word shingles have a Jaccard similarity of 0.8
 differ in some 10 bits, too many for bands. There the shards are made of texts that share two
 minima of their shingles' hashes, in any of TABLES pairs; each shard's tree is asked with SIMILAR_RADIUS,
-a signature of 128 minima thins out what it finds, and the sets of shingles decide in the same task. Shards with
-the same members are one. Three pairs come first; of the other pairs' shards only those follow whose members are not one group by then.
+a signature of 128 minima thins out what it finds, and the sets of shingles decide. Trees and signatures come alone
+first: what they connect is a group of candidates, outside which no pair is a link. Only texts of such a group send their sets, by
+which a task decides exactly: once, if a tree holds the whole group, else with each shard, split by these groups. Shards with the same
+members are one. Three pairs of minima come first; of the other pairs' shards only those follow whose members are not one group by then.
 
 Large shards: a tree holds TREE (or SIMILAR_TREE) members, so a larger shard is cut into blocks by hash, each a
 task. What is linked within blocks is one group from then on; one member of each group, dealt into blocks
@@ -367,6 +369,10 @@ def _shingle_bytes(words_each: int):
     return F.pandas_udf(shingle_bytes, "binary").asNondeterministic()
 
 
+def _estimate(signs: np.ndarray, i: int, j: int) -> float:
+    return np.count_nonzero(signs[i] == signs[j]) / signs.shape[1]
+
+
 def _similar_forest(shingles: list[np.ndarray], in_tree, same: bool, similarity: float, values: list[int] | None = None, minima: list[bytes] | None = None, labels: list | None = None) -> list[tuple[int, int]]:
     """_forest of sets that are similar, among what the tree of values finds and the minima leave; without these, among all."""
     sizes = np.array([len(x) for x in shingles])
@@ -379,7 +385,7 @@ def _similar_forest(shingles: list[np.ndarray], in_tree, same: bool, similarity:
         nonlocal of
         if min(sizes[i], sizes[j]) < similarity * max(sizes[i], sizes[j]) - 1:
             return False
-        if signs is not None and (signs[i] == signs[j]).mean() < similarity - SLACK:
+        if signs is not None and _estimate(signs, i, j) < similarity - SLACK:
             return False
         if of != i:
             marked[:] = False
@@ -404,6 +410,19 @@ def _search_similar(batches: Iterator[pa.RecordBatch], similarity: float) -> Ite
     return _link_batches(links())
 
 
+def _search_candidates(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
+    """Links of rows (task, in_tree, same, label, node, fp, minima) between all that _search_similar would compare by their sets."""
+
+    def links() -> Iterator[list[tuple[int, int]]]:
+        for _, in_tree, same, label, node, fp, minima in _runs(batches):
+            signs = np.frombuffer(b"".join(minima), np.uint8).reshape(len(node), -1)
+            alike = lambda i, j: _estimate(signs, i, j) >= similarity - SLACK  # noqa: B023, E731
+            found = _forest(fp.astype(np.uint64).tolist(), label.tolist(), in_tree, bool(same[0]), SIMILAR_RADIUS, alike)
+            yield [(int(node[i]), int(node[j])) for i, j in found]
+
+    return _link_batches(links())
+
+
 def _texts_of(df: DataFrame, text: str, some: DataFrame) -> DataFrame:
     """node and text for each of some (node, hash), a checkpointed frame; other texts are not moved."""
     some = some.select("node", F.col("hash").alias("_kw_hash"))
@@ -430,7 +449,16 @@ def link_similar(nodes: DataFrame, df: DataFrame, text: str, words_each: int, si
         return checkpointed(nodes.select("node", "fp", "minima").join(sets, "node"))
 
     search, tree = lambda batches: _search_similar(batches, similarity), tree or SIMILAR_TREE
-    first = members(rows.where(F.col("table") < FIRST_TABLES), F.col("node"))
+    every = members(rows, F.col("node")).drop("label")
+    signs = checkpointed(nodes.select("node", "fp", "minima").join(every.select("node").distinct(), "node"))
+    near = checkpointed(components(link_members(every, signs, lambda batches: _search_candidates(batches, similarity), tree)))
+    sizes = broadcast_if_small(checkpointed(near.groupBy("root").agg(F.count("*").alias("n"))))
+    near = checkpointed(near.join(sizes, "root").select("node", F.col("root").alias("candidates"), "n"))
+    whole = near.where(F.col("n") <= tree).select(F.xxhash64("candidates").alias("shard"), "node", "n", F.col("node").alias("label"))
+    split = broadcast_if_small(checkpointed(near.where(F.col("n") > tree).select(F.col("node").alias("_kw_near"), "candidates")))
+    rows = rows.join(split, F.col("node") == F.col("_kw_near"))
+    rows = checkpointed(rows.select("node", "table", F.xxhash64("shard", "candidates").alias("shard")))
+    first = checkpointed(whole.unionByName(members(rows.where(F.col("table") < FIRST_TABLES), F.col("node"))))
     links = checkpointed(link_members(first.drop("label"), with_sets(first), search, tree))
     named = checkpointed(components(links)).withColumnRenamed("node", "_kw_node")
     rest = rows.where(F.col("table") >= FIRST_TABLES).join(broadcast_if_small(named), F.col("node") == F.col("_kw_node"), "left")
