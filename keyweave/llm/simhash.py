@@ -37,6 +37,7 @@ from pyspark.sql import functions as F
 
 from keyweave.llm._common import broadcast_if_small, checkpointed, small_batches
 from keyweave.llm.graph import components
+from keyweave.plans.frames import FILE_ROWS
 
 #: The most fingerprints in one tree.
 TREE = 2048
@@ -200,19 +201,20 @@ def _blocks(n, block: int):
     return F.greatest(F.ceil(n / block), F.lit(1))
 
 
-def link_members(members: DataFrame, payload: DataFrame | None, search: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], block: int, known: DataFrame | None = None) -> DataFrame:
+def link_members(members: DataFrame, payload: DataFrame | None, search: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], block: int, known: DataFrame | None = None, count: int | None = None) -> DataFrame:
     """Links a, b that connect the nodes as the links of all pairs in any shard would, known ones included.
 
     members: shard, node, n (the shard's members; null: few), and label, equal for nodes that known connects, if known is given. payload: node and what search gets of it after task, in_tree, same,
-    label, node. search solves a task of about block rows, or of two blocks that meet.
+    label, node. search solves a task of about block rows, or of two blocks that meet. count: of members, if known.
     """
-    parts = _many(members)
+    parts, count = _many(members), members.count() if count is None else count
 
     def solved(tasks: DataFrame) -> DataFrame:
         columns = ["task", "in_tree", "same", "label", "node"]
         rows = tasks.select(*columns) if payload is None else tasks.join(payload, "node").select(*columns, *[c for c in payload.columns if c != "node"])
         rows = rows.repartition(parts, "task").sortWithinPartitions("task", "node")
-        return checkpointed(rows.mapInArrow(search, "a long, b long"))
+        found = rows.mapInArrow(search, "a long, b long")  # in many tasks, of which few have much to keep
+        return checkpointed(found.repartition(max(1, -(-count // FILE_ROWS))))
 
     def dealt(rows: DataFrame, n, turn: int) -> DataFrame:
         """Rows with shard, node, label, cut into blocks by hash, another one each turn."""
@@ -220,17 +222,17 @@ def link_members(members: DataFrame, payload: DataFrame | None, search: Callable
         return rows.select(F.xxhash64("shard", at).alias("task"), F.lit(True).alias("in_tree"), F.lit(True).alias("same"), "label", "node")
 
     links = solved(dealt(members if known is not None else members.withColumn("label", F.col("node")), F.coalesce("n", F.lit(1)), 0))
-    links = links if known is None else checkpointed(known.unionAll(links))
-    large = checkpointed(members.where(F.col("n") > block).select("shard", "node", "n"))
-    if large.isEmpty():
+    links = links if known is None else known.unionAll(links)
+    large = checkpointed(members.where(F.col("n") > block).select("shard", "node", "n"), count)
+    if not (rows := large.count()):
         return links
     before = None
     for turn in range(1, 64):
-        named = checkpointed(components(links)).withColumnRenamed("node", "_kw_node")
-        current = checkpointed(large.join(named, F.col("node") == F.col("_kw_node"), "left").select("shard", "node", "n", F.coalesce("root", "node").alias("label")))
-        groups = checkpointed(current.groupBy("shard", "label").agg(F.min("node").alias("node"), F.count("*").alias("size")))
+        named = checkpointed(components(links), count).withColumnRenamed("node", "_kw_node")
+        current = checkpointed(large.join(named, F.col("node") == F.col("_kw_node"), "left").select("shard", "node", "n", F.coalesce("root", "node").alias("label")), rows)
+        groups = checkpointed(current.groupBy("shard", "label").agg(F.min("node").alias("node"), F.count("*").alias("size")), rows)
         largest = F.max(F.struct("size", "label")).alias("most")
-        shards = checkpointed(groups.groupBy(F.col("shard").alias("_kw_shard")).agg(F.count("*").alias("groups"), largest).where("groups > 1"))
+        shards = checkpointed(groups.groupBy(F.col("shard").alias("_kw_shard")).agg(F.count("*").alias("groups"), largest).where("groups > 1"), rows)
         shards = broadcast_if_small(shards)
         now = groups.join(shards, F.col("shard") == F.col("_kw_shard"))
         apart = now.count()
@@ -239,7 +241,7 @@ def link_members(members: DataFrame, payload: DataFrame | None, search: Callable
         if before is not None and 2 * apart > before:
             break
         before = apart
-        links = checkpointed(links.unionAll(solved(dealt(now, F.col("groups"), turn))))
+        links = links.unionAll(solved(dealt(now, F.col("groups"), turn)))
     rows = current.join(shards, F.col("shard") == F.col("_kw_shard")).withColumn("others", F.col("n") - F.col("most.size"))
     of_others, of_all = _blocks(F.col("others"), block), _blocks(F.col("n"), block)
     all_of = lambda blocks: F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1))
@@ -272,10 +274,11 @@ def link_fingerprints(values: DataFrame, radius: int = RADIUS, tree: int = TREE)
     The links are a forest per task, not all pairs. Every pair within the radius agrees on one of the band
     masks at least. values are counted, so they should be materialised.
     """
-    part = F.array(*[F.col("fp").bitwiseAND(F.lit(m - (1 << 64) if m >= 1 << 63 else m)) for m in band_masks(values.count(), radius)])
+    masks = band_masks(n := values.count(), radius)
+    part, n = F.array(*[F.col("fp").bitwiseAND(F.lit(m - (1 << 64) if m >= 1 << 63 else m)) for m in masks]), n * len(masks)
     rows = values.select(F.col("fp").alias("node"), F.posexplode(part).alias("band", "part")).select("node", F.xxhash64("band", "part").alias("shard"))
-    large = broadcast_if_small(checkpointed(rows.groupBy("shard").agg(F.count("*").alias("n")).where(F.col("n") > tree)))
-    return link_members(rows.join(large, "shard", "left"), None, lambda batches: _search(batches, radius), tree)
+    large = broadcast_if_small(checkpointed(rows.groupBy("shard").agg(F.count("*").alias("n")).where(F.col("n") > tree), n))
+    return link_members(rows.join(large, "shard", "left"), None, lambda batches: _search(batches, radius), tree, count=n)
 
 
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", radius: int = RADIUS) -> DataFrame:
@@ -292,11 +295,11 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", radi
     return _grouped_by_radius(rows, radius).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def _named(nodes: DataFrame, node: str, links: DataFrame) -> DataFrame:
-    """nodes (with node and least) with group, the least node reached, and component_id, the least key reached."""
-    found = checkpointed(components(links))
+def _named(nodes: DataFrame, node: str, links: DataFrame, n: int) -> DataFrame:
+    """nodes (n, with node and least) with group, the least node reached, and component_id, the least key reached."""
+    found = checkpointed(components(links), n)
     linked = nodes.join(found, nodes[node] == found["node"])
-    roots = checkpointed(linked.groupBy("root").agg(F.min("least").alias("root_least")))
+    roots = checkpointed(linked.groupBy("root").agg(F.min("least").alias("root_least")), n)
     named = found.join(broadcast_if_small(roots), "root").select(F.col("node").alias("_kw_node"), "root", "root_least")
     joined = nodes.join(named, nodes[node] == named["_kw_node"], "left")
     component = F.when(F.col("root").isNotNull(), F.col("root_least")).otherwise(F.col("least"))
@@ -305,8 +308,9 @@ def _named(nodes: DataFrame, node: str, links: DataFrame) -> DataFrame:
 
 def _grouped_by_radius(rows: DataFrame, radius: int) -> DataFrame:
     """rows (with doc_id and fp) with component_id and group."""
-    nodes = checkpointed(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    named = checkpointed(_named(nodes, "fp", link_fingerprints(nodes.select("fp"), radius)).select(F.col("fp").alias("_kw_fp"), "component_id", "group"))
+    n = rows.count()
+    nodes = checkpointed(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), n)
+    named = checkpointed(_named(nodes, "fp", link_fingerprints(nodes.select("fp"), radius), n).select(F.col("fp").alias("_kw_fp"), "component_id", "group"), n)
     return rows.join(named, rows["fp"] == named["_kw_fp"]).drop("_kw_fp")
 
 
@@ -432,6 +436,8 @@ def _texts_of(df: DataFrame, text: str, some: DataFrame) -> DataFrame:
 
 def link_similar(nodes: DataFrame, df: DataFrame, text: str, words_each: int, similarity: float, tree: int | None = None) -> DataFrame:
     """Links a, b that connect similar nodes (node, hash, fp, keys, minima), whose texts are in df."""
+    n = nodes.count()
+    most = n * TABLES
     rows = nodes.select("node", F.posexplode("keys").alias("table", "key"))
     rows = rows.select("node", "table", F.xxhash64("table", "key").alias("shard"))
 
@@ -440,27 +446,27 @@ def link_similar(nodes: DataFrame, df: DataFrame, text: str, words_each: int, si
         marks = [F.bit_xor(F.xxhash64("node", F.lit(i))).alias(f"x{i}") for i in range(2)]
         rows = rows.withColumn("label", label)
         shards = rows.groupBy("shard").agg(F.count("*").alias("n"), *marks, F.min("label").alias("low"), F.max("label").alias("high")).where("low < high")
-        shards = checkpointed(shards.groupBy("n", "x0", "x1").agg(F.min("shard").alias("shard")).select("shard", "n"))
-        return checkpointed(rows.join(broadcast_if_small(shards), "shard").select("shard", "node", "n", "label"))
+        shards = checkpointed(shards.groupBy("n", "x0", "x1").agg(F.min("shard").alias("shard")).select("shard", "n"), most)
+        return checkpointed(rows.join(broadcast_if_small(shards), "shard").select("shard", "node", "n", "label"), most)
 
     def with_sets(members: DataFrame) -> DataFrame:
-        several = checkpointed(members.select("node").distinct().join(nodes.select("node", "hash"), "node"))
+        several = checkpointed(members.select("node").distinct().join(nodes.select("node", "hash"), "node"), n)
         sets = _texts_of(df, text, several).select("node", _shingle_bytes(words_each)("text").alias("shingles"))
         return checkpointed(nodes.select("node", "fp", "minima").join(sets, "node"))
 
     search, tree = lambda batches: _search_similar(batches, similarity), tree or SIMILAR_TREE
     every = members(rows, F.col("node")).drop("label")
-    signs = checkpointed(nodes.select("node", "fp", "minima").join(every.select("node").distinct(), "node"))
-    near = checkpointed(components(link_members(every, signs, lambda batches: _search_candidates(batches, similarity), tree)))
-    sizes = broadcast_if_small(checkpointed(near.groupBy("root").agg(F.count("*").alias("n"))))
-    near = checkpointed(near.join(sizes, "root").select("node", F.col("root").alias("candidates"), "n"))
+    signs = checkpointed(nodes.select("node", "fp", "minima").join(every.select("node").distinct(), "node"), n)
+    near = checkpointed(components(link_members(every, signs, lambda batches: _search_candidates(batches, similarity), tree)), n)
+    sizes = broadcast_if_small(checkpointed(near.groupBy("root").agg(F.count("*").alias("n")), n))
+    near = checkpointed(near.join(sizes, "root").select("node", F.col("root").alias("candidates"), "n"), n)
     whole = near.where(F.col("n") <= tree).select(F.xxhash64("candidates").alias("shard"), "node", "n", F.col("node").alias("label"))
-    split = broadcast_if_small(checkpointed(near.where(F.col("n") > tree).select(F.col("node").alias("_kw_near"), "candidates")))
+    split = broadcast_if_small(checkpointed(near.where(F.col("n") > tree).select(F.col("node").alias("_kw_near"), "candidates"), n))
     rows = rows.join(split, F.col("node") == F.col("_kw_near"))
-    rows = checkpointed(rows.select("node", "table", F.xxhash64("shard", "candidates").alias("shard")))
-    first = checkpointed(whole.unionByName(members(rows.where(F.col("table") < FIRST_TABLES), F.col("node"))))
-    links = checkpointed(link_members(first.drop("label"), with_sets(first), search, tree))
-    named = checkpointed(components(links)).withColumnRenamed("node", "_kw_node")
+    rows = checkpointed(rows.select("node", "table", F.xxhash64("shard", "candidates").alias("shard")), most)
+    first = checkpointed(whole.unionByName(members(rows.where(F.col("table") < FIRST_TABLES), F.col("node"))), n + most)
+    links = link_members(first.drop("label"), with_sets(first), search, tree)
+    named = checkpointed(components(links), n).withColumnRenamed("node", "_kw_node")
     rest = rows.where(F.col("table") >= FIRST_TABLES).join(broadcast_if_small(named), F.col("node") == F.col("_kw_node"), "left")
     rest = members(rest, F.coalesce("root", "node")).select("shard", "node", "n", "label")
     if rest.isEmpty():
@@ -468,16 +474,17 @@ def link_similar(nodes: DataFrame, df: DataFrame, text: str, words_each: int, si
     return link_members(rest, with_sets(rest), search, tree, links)
 
 
-def _grouped_by_similarity(df: DataFrame, key: str, text: str, words_each: int, similarity: float) -> DataFrame:
-    """doc_id, hash (of the text), component_id and group of each row of df."""
+def _grouped_by_similarity(df: DataFrame, key: str, text: str, words_each: int, similarity: float) -> tuple[DataFrame, int]:
+    """doc_id, hash (of the text), component_id and group of each row of df, and how many these are."""
     made = df.select(F.col(key).alias("doc_id"), F.xxhash64(F.col(text)).alias("hash"), _signatures(words_each)(F.col(text)).alias("s"))
     with small_batches(df.sparkSession):
         rows = checkpointed(made.select("doc_id", "hash", "s.*"))
+        n = rows.count()
         nodes = rows.groupBy("hash", "fp", "keys", "minima").agg(F.min("doc_id").alias("least"))
-        nodes = checkpointed(nodes.withColumn("node", F.monotonically_increasing_id()))
-        links = checkpointed(link_similar(nodes, df, text, words_each, similarity))
-    named = checkpointed(_named(nodes.select("node", "hash", "fp", "least"), "node", links).select(F.col("hash").alias("_kw_hash"), F.col("fp").alias("_kw_fp"), "component_id", "group"))
-    return rows.select("doc_id", "hash", "fp").join(named, (F.col("hash") == F.col("_kw_hash")) & (F.col("fp") == F.col("_kw_fp"))).select("doc_id", "hash", "component_id", "group")
+        nodes = checkpointed(nodes.withColumn("node", F.monotonically_increasing_id()), n * TABLES)
+        links = link_similar(nodes, df, text, words_each, similarity)
+    named = checkpointed(_named(nodes.select("node", "hash", "fp", "least"), "node", links, n).select(F.col("hash").alias("_kw_hash"), F.col("fp").alias("_kw_fp"), "component_id", "group"), n)
+    return rows.select("doc_id", "hash", "fp").join(named, (F.col("hash") == F.col("_kw_hash")) & (F.col("fp") == F.col("_kw_fp"))).select("doc_id", "hash", "component_id", "group"), n
 
 
 def similar_texts(df: DataFrame, key: str = "doc_id", text: str = "text", words_each: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -492,7 +499,7 @@ def similar_texts(df: DataFrame, key: str = "doc_id", text: str = "text", words_
     Null keys are passed over for component_id. Repeated rows keep a row each; an empty table gives an
     empty result; other columns are not looked at.
     """
-    return _grouped_by_similarity(df, key, text, words_each, similarity).select("doc_id", "component_id")
+    return _grouped_by_similarity(df, key, text, words_each, similarity)[0].select("doc_id", "component_id")
 
 
 def keep_one_of_each(df: DataFrame, key: str = "doc_id", text: str = "text", words_each: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -502,18 +509,19 @@ def keep_one_of_each(df: DataFrame, key: str = "doc_id", text: str = "text", wor
     Only the dropped keys and text hashes are joined back, as an anti join, so texts are not shuffled
     while these are few, and keys need not be unique.
     """
-    grouped = checkpointed(_grouped_by_similarity(df, key, text, words_each, similarity).groupBy("group", "doc_id", "hash").agg(F.count("*").alias("n")))
+    found, n = _grouped_by_similarity(df, key, text, words_each, similarity)
+    grouped = checkpointed(found.groupBy("group", "doc_id", "hash").agg(F.count("*").alias("n")), n)
     best = grouped.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "hash")).alias("best"))
-    joined = grouped.join(checkpointed(best), "group")
+    joined = grouped.join(checkpointed(best, n), "group")
     stays = F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("hash") == F.col("best.hash"))
-    fates = checkpointed(joined.select(F.col("doc_id").alias("_kw_key"), F.col("hash").alias("_kw_hash"), stays.alias("stays"), "n"))
-    gone = broadcast_if_small(checkpointed(fates.where("not stays").select("_kw_key", "_kw_hash")))
+    fates = checkpointed(joined.select(F.col("doc_id").alias("_kw_key"), F.col("hash").alias("_kw_hash"), stays.alias("stays"), "n"), n)
+    gone = broadcast_if_small(checkpointed(fates.where("not stays").select("_kw_key", "_kw_hash"), n))
     same = F.col(key).eqNullSafe(F.col("_kw_key")) & (F.xxhash64(F.col(text)) == F.col("_kw_hash"))
     kept = df.join(gone, same, "left_anti")
     # Equal key and text more than once: rare, and only then rows must meet.
     repeated = fates.where("stays and n > 1").select("_kw_key", "_kw_hash")
     if not repeated.limit(1).count():
         return kept
-    repeated = broadcast_if_small(checkpointed(repeated))
+    repeated = broadcast_if_small(checkpointed(repeated, n))
     once = kept.join(repeated, same, "left_anti")
     return once.unionByName(kept.join(repeated, same, "left_semi").dropDuplicates([key, text]))

@@ -15,6 +15,8 @@ BROADCAST_BYTES = 32 << 20
 PLACE_BITS = 33
 #: Copies of one row that a task places at most.
 COPIES = 1 << 20
+#: Rows of a few numbers that a checkpoint keeps in a file at least.
+FILE_ROWS = 50_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -32,15 +34,20 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
+def checkpointed(df: DataFrame, rows: int | None = None) -> DataFrame:
     """df computed once, without lineage, in the shared folder.
 
+    rows: at most so many short rows go into its last stage or come out of it. That stage then has only as many tasks,
+    each with a file, as these rows fill: for every file a local file system starts processes, and every later reader has a task.
+
     A checkpoint keeps the planner's estimate of the frame's size, which every join multiplies: over the rounds of
     an iteration it grows to numbers of millions of digits, which take longer to multiply than the rows. So
     the kept rows become a frame of unknown size; joins are decided by measured sizes.
     """
     spark = df.sparkSession
     shared_dir(spark)
+    if rows is not None:
+        df = df.coalesce(max(1, -(-rows // FILE_ROWS)))
     kept = df.checkpoint(eager=True)._jdf
     return DataFrame(spark._jsparkSession.internalCreateDataFrame(kept.queryExecution().toRdd(), kept.schema(), False), spark)
 

@@ -1,3 +1,5 @@
+import os
+
 import numpy as np
 import pytest
 import xxhash
@@ -257,3 +259,19 @@ def test_rows_of_a_large_family_grow_in_proportion(spark, tmp_path):
     joined = plain_components(near)
     assert len({c.root for c in components(links).collect()}) == len({g for g in joined.values() if len(g) > 1}) == 1
     assert n <= rows < 12 * n  # the pairs of its 63 blocks would have 64 * n
+
+
+def test_small_frames_are_kept_in_few_files(spark, document_rows):
+    """However many the shuffle partitions: each file costs processes when written and a task when read."""
+    held = {"spark.sql.shuffle.partitions": "48", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in held}
+    files = lambda: sum(f.startswith("part-") for _, _, some in os.walk(spark.sparkContext.getCheckpointDir().removeprefix("file:")) for f in some)
+    rows, had = spark.createDataFrame(document_rows, DOCUMENT), files()
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        assert sorted((tuple(r) for r in near_duplicates(rows.repartition(3)).collect()), key=str) == brute(document_rows)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert 0 < files() - had < 2 * 48  # a file for each partition of each frame made 195
