@@ -11,9 +11,9 @@ import pyarrow as pa
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from keyweave.plans.frames import BROADCAST_BYTES, broadcast_if_small, checkpointed, shared_dir
+from keyweave.plans.frames import BROADCAST_BYTES, broadcast_if_small, checkpointed, in_few_parts, shared_dir
 
-__all__ = ["BROADCAST_BYTES", "WORD", "ascii_lower", "broadcast_if_small", "checkpointed", "release_memory", "remove_shared", "scratch", "shared_path", "small_batches"]
+__all__ = ["BROADCAST_BYTES", "WORD", "ascii_lower", "broadcast_if_small", "checkpointed", "in_few_parts", "release_memory", "remove_shared", "scratch", "shared_path", "small_batches"]
 
 #: Word characters are all but the six ASCII spaces.
 WORD = r"[^\x20\x09-\x0D]+"

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keyweave.llm._common import checkpointed
+from keyweave.llm._common import checkpointed, in_few_parts
 
 
 def _toward_least(edges: DataFrame, larger_only: bool, n: int) -> DataFrame:
@@ -21,10 +21,10 @@ def _toward_least(edges: DataFrame, larger_only: bool, n: int) -> DataFrame:
         pairs = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
     least = checkpointed(pairs.groupBy("u").agg(F.least("u", F.min("v")).alias("m")), 2 * n)
     moved = pairs.where("v > u") if larger_only else pairs
-    out = moved.join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b"))
+    out = in_few_parts(moved.join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b")), 2 * n)
     if not larger_only:
         out = out.unionByName(least.select(F.col("u").alias("a"), F.col("m").alias("b")))
-    return out.where("a != b").distinct()
+    return in_few_parts(out.where("a != b").distinct(), 2 * n)
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -72,7 +72,7 @@ def solve(cells: DataFrame, targets: DataFrame, cap: float) -> DataFrame:
 
     cells: source, base, size (words of the documents of that source and base rate).
     """
-    state = checkpointed(targets.withColumns({"lambda_": F.lit(0.0), "low": F.lit(-700.0), "high": F.lit(700.0)}))
+    state = checkpointed(targets.withColumns({"lambda_": F.lit(0.0), "low": F.lit(-700.0), "high": F.lit(700.0)}), n := cells.count())
     # A source with target 0 needs no lambda: its rate is 0.
     for _ in range(MOST_STEPS):
         here = broadcast_if_small(state.withColumnRenamed("source", "_kw_source"))
@@ -92,7 +92,7 @@ def solve(cells: DataFrame, targets: DataFrame, cap: float) -> DataFrame:
         newton = F.when(F.col("slope") > 0, F.col("lambda_") - over / F.col("slope"))
         inside = (newton > F.col("low")) & (newton < F.col("high"))
         stepped = F.when(~F.col("open"), F.col("lambda_")).when(inside, newton).otherwise((F.col("low") + F.col("high")) / 2)
-        state = checkpointed(sums.withColumn("lambda_", stepped).select("source", "source_size", "target", "lambda_", "low", "high", "open"))
+        state = checkpointed(sums.withColumn("lambda_", stepped).select("source", "source_size", "target", "lambda_", "low", "high", "open"), n)
         if not state.where("open").limit(1).count():
             break
         state = state.drop("open")
@@ -123,7 +123,8 @@ def plan_mix(rows: DataFrame, weights: tuple[float, ...], share: float, cap: flo
 
     rows: _kw_source, _kw_base, _kw_draw, _kw_size, cheap to read again.
     """
-    cells = checkpointed(rows.groupBy(F.col("_kw_source").alias("source"), F.col("_kw_base").alias("base")).agg(F.sum("_kw_size").alias("size")))
+    n = rows.count()
+    cells = checkpointed(rows.groupBy(F.col("_kw_source").alias("source"), F.col("_kw_base").alias("base")).agg(F.sum("_kw_size").alias("size")), n)
     sizes = cells.groupBy("source").agg(F.sum("size").alias("source_size"))
     solved = solve(cells, source_targets(sizes, weights, share, cap), cap)
     plan = solved.select(F.col("source").alias("_kw_of"), F.col("source_size").alias("_kw_source_size"), F.col("target").alias("_kw_target"), F.col("lambda_").alias("_kw_lambda"))
@@ -139,7 +140,7 @@ def plan_mix(rows: DataFrame, weights: tuple[float, ...], share: float, cap: flo
         whole = Window.partitionBy("of2")
         cells = cells.withColumn("upto", F.sum("words").over(whole.orderBy("cell"))).withColumn("left", (F.sum if met is None else F.max)("left").over(whole))
         meets = F.min_by(F.struct("cell", (F.col("left") - F.col("upto") + F.col("words")).alias("left")), F.when(F.col("upto") >= F.col("left"), F.col("cell")))
-        met = checkpointed(cells.groupBy("of2").agg(meets.alias("m")).select(F.col("of2").alias("_kw_of2"), F.col("m.cell").alias("_kw_met"), F.col("m.left").alias("left")))
+        met = checkpointed(cells.groupBy("of2").agg(meets.alias("m")).select(F.col("of2").alias("_kw_of2"), F.col("m.cell").alias("_kw_met"), F.col("m.left").alias("left")), n)
         met = broadcast_if_small(met)
     inside = _inside(rated, met, LEVELS)
     inside = inside.groupBy("_kw_of2", "_kw_at").agg(F.sum("_kw_size").alias("words"), F.first("left").alias("left"))
@@ -148,7 +149,7 @@ def plan_mix(rows: DataFrame, weights: tuple[float, ...], share: float, cap: flo
     last = met.select(F.col("_kw_of2").alias("of3"), "_kw_met").join(last, F.col("of3").eqNullSafe(F.col("_kw_of2")), "left")
     # Without a document to be taken in its cell, the threshold lies just below the cell.
     last = last.select("of3", F.coalesce("last", F.col("_kw_met") / F.lit(float(CELLS**LEVELS)) - F.lit(2.0**-60)).alias("_kw_last"))
-    return checkpointed(plan.join(last, plan["_kw_of"].eqNullSafe(last["of3"]), "left").drop("of3"))
+    return checkpointed(plan.join(last, plan["_kw_of"].eqNullSafe(last["of3"]), "left").drop("of3"), n)
 
 
 def _with_copies(rows: DataFrame, plan: DataFrame, cap: float) -> DataFrame:

@@ -104,11 +104,12 @@ def _running(bins: DataFrame, every: DataFrame, of: list[str], suffix: str) -> D
 
 def fences(counted: DataFrame) -> DataFrame:
     """Per language and source: the columns lo_<rate> and hi_<rate>."""
-    finest = checkpointed(sketches(counted))
-    langs = checkpointed(finest.groupBy("lang", "rate", "bin").agg(F.sum("n").alias("n")))
-    every = checkpointed(langs.groupBy("rate", "bin").agg(F.sum("n").alias("n")))
+    finest = checkpointed(sketches(counted), len(RATES) * counted.count())
+    n = finest.count()
+    langs = checkpointed(finest.groupBy("lang", "rate", "bin").agg(F.sum("n").alias("n")), n)
+    every = checkpointed(langs.groupBy("rate", "bin").agg(F.sum("n").alias("n")), n)
     overall = _running(every, every, [], "2")
-    langs = _running(langs, every, ["lang"], "1").join(F.broadcast(checkpointed(overall)), ["rate", "bin"])
+    langs = _running(langs, every, ["lang"], "1").join(F.broadcast(checkpointed(overall, n)), ["rate", "bin"])
     langs = langs.select(F.col("lang").alias("lang1"), F.col("rate").alias("rate1"), F.col("bin").alias("bin1"), ((F.col("upto1") + PRIOR * (F.col("upto2") / F.col("all2"))) / (F.col("all1") + PRIOR)).alias("share"))
     langs = broadcast_if_small(checkpointed(langs))
     merged = _running(finest, every, ["lang", "source"], "0")

@@ -34,6 +34,11 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+def in_few_parts(df: DataFrame, rows: int) -> DataFrame:
+    """df, whose last stage reads or makes at most so many short rows, with only as many tasks in that stage as these fill."""
+    return df.coalesce(max(1, -(-rows // FILE_ROWS)))
+
+
 def checkpointed(df: DataFrame, rows: int | None = None) -> DataFrame:
     """df computed once, without lineage, in the shared folder.
 
@@ -47,7 +52,7 @@ def checkpointed(df: DataFrame, rows: int | None = None) -> DataFrame:
     spark = df.sparkSession
     shared_dir(spark)
     if rows is not None:
-        df = df.coalesce(max(1, -(-rows // FILE_ROWS)))
+        df = in_few_parts(df, rows)
     kept = df.checkpoint(eager=True)._jdf
     return DataFrame(spark._jsparkSession.internalCreateDataFrame(kept.queryExecution().toRdd(), kept.schema(), False), spark)
 

@@ -275,3 +275,23 @@ def test_small_frames_are_kept_in_few_files(spark, document_rows):
         for k, v in before.items():
             spark.conf.set(k, v)
     assert 0 < files() - had < 2 * 48  # a file for each partition of each frame made 195
+
+
+def test_small_graphs_take_few_tasks(spark):
+    """However many the shuffle partitions, also between the frames that are kept."""
+    held = {"spark.sql.shuffle.partitions": "48", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before, context = {k: spark.conf.get(k) for k in held}, spark.sparkContext
+    edges = spark.range(300).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        context.setJobGroup("small graph", "")
+        assert {r.root for r in components(edges).collect()} == {0}
+        said = context.statusTracker()
+        stages = {s for j in said.getJobIdsForGroup("small graph") for s in said.getJobInfo(j).stageIds}
+        tasks = sum(i.numCompletedTasks for i in map(said.getStageInfo, stages) if i)
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert 0 < tasks < 2000  # 1658; with stages of all partitions between them 3088
