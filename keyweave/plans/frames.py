@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import tempfile
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -17,6 +18,8 @@ PLACE_BITS = 33
 COPIES = 1 << 20
 #: Rows of a few numbers that a checkpoint keeps in a file at least.
 FILE_ROWS = 50_000
+#: Rows of at most so many columns, all of fixed width, are sorted and kept themselves where positions are asked for.
+NARROW_COLUMNS = 8
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -118,11 +121,23 @@ def _handle(df: DataFrame) -> list[Column]:
     return [F.xxhash64(*columns, *none).alias("_kw_h1"), F.xxhash64(F.lit("2"), *none, *columns).alias("_kw_h2")]
 
 
+def _narrow(df: DataFrame) -> bool:
+    """Whether the rows are no wider than what else would be kept, sorted and joined for them."""
+    fixed = T.NumericType, T.BooleanType, T.DatetimeType, T.DayTimeIntervalType, T.YearMonthIntervalType
+    return len(df.columns) <= NARROW_COLUMNS and all(isinstance(f.dataType, fixed) for f in df.schema)
+
+
+def _whole_order(df: DataFrame, order_by: Sequence[str | Column]) -> bool:
+    """Whether rows equal in the order are alike: all columns are in it, and none has different values that sort as equal, as 0.0 and -0.0."""
+    return {*df.columns} <= {c for c in order_by if isinstance(c, str)} and not any(isinstance(f.dataType, (T.FloatType, T.DoubleType)) for f in df.schema)
+
+
 def with_position(df: DataFrame, name: str, *order_by: str | Column) -> DataFrame:
     """df with its dense position from 0 as long column name, in the given order, or as the rows come.
 
     In a given order only the order's columns and a 128-bit hash of each row are sorted, by range over
     all tasks, and kept in the shared folder; the rows themselves move once, to meet their positions.
+    Rows of a few numbers, which are no wider than that, are sorted and kept themselves and meet nothing.
     Equal rows of the order go by that hash, so a rerun gives the same positions; a frame is read twice and must
     have the same rows both times. Copies of one row, which are alike, get the positions of all of them.
 
@@ -138,10 +153,14 @@ def with_position(df: DataFrame, name: str, *order_by: str | Column) -> DataFram
         df = df.withColumn(place, F.monotonically_increasing_id()).repartitionByRange(*order).sortWithinPartitions(*order).drop(place)
         return _numbered(checkpointed(df), name)
 
+    if _narrow(df) and _whole_order(df, order_by):
+        return _numbered(checkpointed(df.repartitionByRange(*order_by).sortWithinPartitions(*order_by)), name)
     handled, both = df.select("*", *_handle(df)), ["_kw_h1", "_kw_h2"]
     order = [*order_by, *map(F.col, both)]
-    narrow = handled.repartitionByRange(*order).sortWithinPartitions(*order).select(*both)
-    placed = checkpointed(_numbered(checkpointed(narrow), "_kw_at"))
+    ordered = handled.repartitionByRange(*order).sortWithinPartitions(*order)
+    if _narrow(df):
+        return _numbered(checkpointed(ordered.drop(*both)), name)
+    placed = checkpointed(_numbered(checkpointed(ordered.select(*both)), "_kw_at"))
     repeated = checkpointed(placed.groupBy(*both).agg(F.count("*").alias("n"), F.min("_kw_at").alias("low"), F.max("_kw_at").alias("high")).where("n > 1").drop("n"))
     if repeated.isEmpty():
         return handled.join(placed, both).drop(*both).withColumnRenamed("_kw_at", name)

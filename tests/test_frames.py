@@ -47,6 +47,27 @@ def test_wide_rows_are_not_kept(spark):
     assert kept and not any("wide" in line for line in kept)
 
 
+def shuffles(spark, run):
+    """Rows that the tasks of run() wrote to shuffles, from the status store."""
+    def stages():
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+        found = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0), None)
+        return [found.apply(i) for i in range(found.size())]
+
+    before = {(s.stageId(), s.attemptId()) for s in stages()}
+    run()
+    return sum(s.shuffleWriteRecords() for s in stages() if (s.stageId(), s.attemptId()) not in before)
+
+
+@pytest.mark.parametrize("names", [["k", "id"], ["k"], ["-k"]])
+def test_narrow_rows_move_once(spark, names):
+    """Rows of a few numbers are sorted themselves: one row in a shuffle for each, not one each for hash, position and row."""
+    df = spark.range(20_000).select((F.col("id") * 7919 % 5000).alias("k"), "id")
+    order = [F.desc(n[1:]) if n.startswith("-") else n for n in names]
+    assert shuffles(spark, lambda: with_position(df, "p", *order).write.format("noop").mode("overwrite").save()) < 20_500
+    assert [r[-1] for r in positions(df, *order)] == list(range(20_000)) and positions(df, *order) == positions(df.repartition(7), *order)
+
+
 def test_slices_far_out_go_by_positions(spark, monkeypatch):
     df = spark.range(1000)
     near = [r.id for r in columns.slice_view(df, 990, 20, "id").collect()]
