@@ -198,10 +198,10 @@ def hash_probe_resumed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three pages of 20 matches, each going on from the end of the one before; the first page, which starts them, is left out."""
     orders = with_position(_read(spark, sf_dir, "orders", "o_custkey", "o_orderkey"), "row_id", "o_orderkey")
     events = _read(spark, sf_dir, "events", F.col("event_id").alias("probe_idx"), F.col("user_id").alias("hash"))
-    matches = hashing.probe_hashes(orders.select(F.col("o_custkey").alias("hash"), "row_id"), events)
+    build = orders.select(F.col("o_custkey").alias("hash"), "row_id")
     last, got = None, []
     for _ in range(4):
-        page = [tuple(r) for r in hashing.next_page(matches, 20, last).collect()]
+        page = [tuple(r) for r in hashing.probe_page(build, events, 20, last).collect()]
         got, last = got + page, page[-1] if page else last
     return _made(spark, got[20:], "probe_idx long, row_id long")
 

@@ -7,6 +7,7 @@ from keyweave import KeyedTable
 from keyweave.functions import bits, hashing
 from keyweave.operators import columns
 from keyweave.plans import frames
+from keyweave.plans.api_queries import QUERIES
 from keyweave.plans.frames import measured_bytes, with_position
 from keyweave.plans.trace import rows_as_text
 from keyweave.sources import datagen
@@ -133,6 +134,33 @@ def test_pages_go_on_where_the_last_ended(spark):
     assert [tuple(r) for r in hashing.probe_pages(matches, 3).orderBy("page", "probe_idx", "row_id").select("probe_idx", "row_id").collect()] == want
 
 
+def test_pages_of_a_probe_are_those_of_all_its_matches(spark, monkeypatch):
+    """Repeated and absent places, null and unmatched hashes, hashes of more rows than a page; by turns, and all at once."""
+    build = spark.createDataFrame([(i % 5 if i % 11 else None, i) for i in range(60)], "hash long, row_id long")
+    probe = spark.createDataFrame([(i // 2 if i > 1 else None, [7, 3, None, 9, 9, 9, 9, 1][i % 8]) for i in range(64)], "probe_idx long, hash long")
+    matches = hashing.probe_hashes(build, probe)
+    asked = [(3, None), (3, (3, 11)), (3, (8, 0)), (3, (31, 56)), (1000, (20, 11))]
+    want = [hashing.next_page(matches, *a).collect() for a in asked]
+    assert [len(w) for w in want[:3]] == [3, 3, 3]
+    for most, more in ((1 << 20, 2), (0, 2)):
+        monkeypatch.setattr(hashing, "MOST_PROBES", most)
+        monkeypatch.setattr(hashing, "MORE_PROBES", more)
+        assert [hashing.probe_page(build, probe, *a).collect() for a in asked] == want
+    with pytest.raises(ValueError):
+        hashing.probe_page(build, probe, 0)
+
+
+def test_resumed_pages_do_not_move_all_probes(spark, tmp_path):
+    """Beside the positions of orders, a page moves few rows: 60 matches don't take a shuffle of events, or of orders, for each page."""
+    spark.range(40_000).select(F.col("id").alias("o_orderkey"), (F.col("id") % 900).alias("o_custkey")).write.parquet(f"{tmp_path}/orders.parquet")
+    spark.range(30_000).select(F.col("id").alias("event_id"), (F.col("id") % 1000).alias("user_id")).write.parquet(f"{tmp_path}/events.parquet")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert shuffles(spark, lambda: QUERIES["hash_probe_resumed"](spark, str(tmp_path)).collect()) < 42_000
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_bits_and_draws(spark):
     v = F.lit(-1).cast("long")
     row = spark.range(1).select(bits.with_bit(v, 63, False), bits.bit_is_set(v, 63), bits.with_bit(F.lit(0).cast("long"), 63), bits.aligned_down(F.lit(-9), 8)).first()
