@@ -16,7 +16,7 @@ from keyweave.functions import bits, equality, hashing
 from keyweave.operators import batching, columns, rows
 from keyweave.operators.keyed import KeyedTable, default_rows_per_batch
 from keyweave.plans import trace
-from keyweave.plans.frames import shared_dir, with_position
+from keyweave.plans.frames import shared_dir, stacked, with_position
 from keyweave.plans.queries import _read, _table, _types, mixed_sql
 from keyweave.sources import arrow, datagen
 from keyweave.sources.storage import BlockOptions, parse_storage
@@ -310,7 +310,7 @@ def storage_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
     build, keys = _read(spark, sf_dir, "orders", "o_orderkey", "o_custkey"), _read(spark, sf_dir, "lineitem", "l_orderkey")
     folder = shared_dir(spark).removeprefix("file:").rstrip("/")
     found = [_table(build, 1, storage_descriptor=d).keep().lookup(keys).withColumn("kept", F.lit(k)) for k, d in (("file", f"file://{folder}/kept-rows"), ("ram", "ram:///?size_bytes=2147483647"))]
-    return found[0].unionAll(found[1])
+    return stacked(*found)
 
 
 @query("SELECT * FROM (VALUES ('both', 4096::BIGINT, 8192::BIGINT), ('block', 838860::BIGINT, 1073741824::BIGINT), ('error', NULL, NULL)) v(given, block, total)")

@@ -20,6 +20,8 @@ COPIES = 1 << 20
 FILE_ROWS = 50_000
 #: Rows of at most so many columns, all of fixed width, are sorted and kept themselves where positions are asked for.
 NARROW_COLUMNS = 8
+#: More parts than a frame has.
+MOST_PARTS = (1 << 31) - 1
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -60,6 +62,18 @@ def checkpointed(df: DataFrame, rows: int | None = None) -> DataFrame:
     return DataFrame(spark._jsparkSession.internalCreateDataFrame(kept.queryExecution().toRdd(), kept.schema(), False), spark)
 
 
+def stacked(*frames: DataFrame) -> DataFrame:
+    """The rows of all frames, each task with those of one frame.
+
+    A plain union of frames that are partitioned alike, such as two joins on one key, gives a task a partition of each,
+    and so the memory for all their sorts. coalesce to more parts than there are leaves them as they are, but unlike.
+    """
+    out = frames[0]
+    for df in frames[1:]:
+        out = out.unionAll(df.coalesce(MOST_PARTS))
+    return out
+
+
 def _value_bytes(column: Column, kind: T.DataType) -> Column:
     """About how many bytes a value takes in memory; null takes 8."""
     if isinstance(kind, (T.StringType, T.BinaryType)):

@@ -161,6 +161,18 @@ def test_resumed_pages_do_not_move_all_probes(spark, tmp_path):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
+def test_stacked_joins_have_tasks_of_their_own(spark, sf_dir):
+    """A task of the kept tables' union sorts for one of its two joins, not for both."""
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        assert QUERIES["storage_kept"](spark, sf_dir).rdd.getNumPartitions() == 8
+    finally:
+        for k in settings:
+            spark.conf.unset(k)
+
+
 def test_bits_and_draws(spark):
     v = F.lit(-1).cast("long")
     row = spark.range(1).select(bits.with_bit(v, 63, False), bits.bit_is_set(v, 63), bits.with_bit(F.lit(0).cast("long"), 63), bits.aligned_down(F.lit(-9), 8)).first()
